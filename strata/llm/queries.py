@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, langid, mixing, packing, simhash, topk, toxicity, urls
+from strata.llm import chat, imatch, langid, mixing, packing, simhash, topk, toxicity, urls
 from strata.llm.common import bucket, documents
 
 
@@ -76,6 +76,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_read(spark, sf_dir, "documents"))
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited(_read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -92,6 +96,7 @@ QUERIES = {
     "op4_langid": op4_langid,
     "op5_urls": op5_urls,
     "op6_packing": op6_packing,
+    "op7_imatch": op7_imatch,
     "op8_simhash": op8_simhash,
     "op10_mixing": op10_mixing,
 }

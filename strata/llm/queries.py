@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, imatch, langid, mixing, packing, simhash, topk, toxicity, urls
+from strata.llm import chat, gru, imatch, langid, mixing, packing, simhash, topk, toxicity, urls
 from strata.llm.common import bucket, documents
 
 
@@ -85,6 +85,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    fitted = gru.fit(docs.where(bucket(F.col("doc_id"), 7) != 2))
+    found = gru.scores(docs, fitted)
+    return found.select("doc_id", (bucket(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(*mixing.mix(_read(spark, sf_dir, "documents")))
 
@@ -98,6 +105,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_imatch": op7_imatch,
     "op8_simhash": op8_simhash,
+    "op9_gru": op9_gru,
     "op10_mixing": op10_mixing,
 }
 

@@ -208,6 +208,29 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS, most_words: int = MOST_WORD
     return train(languages, switched({k: [list(r["words"]) for r in got if r["lang"] == lang] for k, lang in enumerate(languages)}))
 
 
+def judge(crf: Crf | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; some hundred thousand words at a time."""
+    lang, score = ["und"] * len(texts), np.zeros(len(texts))
+    held: list[tuple[int, list[str]]] = []
+    size = 0
+
+    def flush():
+        for (i, _), p in zip(held, crf.probabilities([x for _, x in held]), strict=True):
+            mean = p.mean(axis=0)
+            lang[i], score[i] = crf.languages[int(mean.argmax())], min(1.0, float(mean.max()))
+
+    for i, text in enumerate(texts if crf is not None else ()):
+        if found := words(text.as_py() or ""):
+            held.append((i, found))
+            size += len(found)
+        if size >= AT_ONCE:
+            flush()
+            held, size = [], 0
+    if held:
+        flush()
+    return lang, score
+
+
 def predict(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (mean probability of that language over the words) of every row, from its whole
     text. ``und`` with score 0: a text that is null or has no letter, or a model that has no language. Ties go to
@@ -215,27 +238,20 @@ def predict(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
-        crf = shared.value
-        n = batch.num_rows
-        lang, score = ["und"] * n, np.zeros(n)
-        held: list[tuple[int, list[str]]] = []
-        size = 0
-
-        def flush():
-            for (i, _), p in zip(held, crf.probabilities([x for _, x in held]), strict=True):
-                mean = p.mean(axis=0)
-                lang[i], score[i] = crf.languages[int(mean.argmax())], min(1.0, float(mean.max()))
-
-        if crf is not None:
-            for i, text in enumerate(batch["text"]):
-                if found := words(text.as_py() or ""):
-                    held.append((i, found))
-                    size += len(found)
-                if size >= AT_ONCE:
-                    flush()
-                    held, size = [], 0
-            if held:
-                flush()
+        lang, score = judge(shared.value, batch["text"])
         return {"doc_id": batch["doc_id"], "lang_pred": lang, "score": score}
 
     return map_batches(documents(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Crf | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language is known with a score of at least ``least``, as they are. Without a model no
+    language is known, so no row stays."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            lang, score = judge(shared.value, batch[text_col])
+            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -162,7 +162,8 @@ def links(nodes: DataFrame, most: int = 2, segments: int = 5, crowded: int = CRO
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2, words: int = 3, segments: int = 5, crowded: int = CROWDED) -> DataFrame:
-    """doc_id, text_hash, fp, component_id (the least doc_id reachable over links, itself included) of every row.
+    """doc_id, text_hash, fp, root (the least fingerprint of its component), component_id (the least doc_id reachable
+    over links, itself included) of every row.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Rows with equal fingerprints are one
     node, however many they are. A null doc_id never is a component's id unless the component has no other.
@@ -174,5 +175,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     rooted = checkpointed(rooted)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    by_fp = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component, as it is: that of the least doc_id, and of its texts the one of least hash. A
+    component with null ids only keeps one of them. Texts are shuffled once."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    keep = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__h"))
+    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = rows.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
+    return kept.dropDuplicates([id_col, "__hash"]).select(*docs.columns)

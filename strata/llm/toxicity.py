@@ -135,15 +135,30 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None)
     return out, b
 
 
+def probabilities(model: tuple[np.ndarray, float], texts: pa.Array) -> np.ndarray:
+    table, bias = model
+    z = np.array([bias + float(table[_held(x.as_py() or "", table)].sum()) for x in texts], float)
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted of every row, from its whole text. Null and empty texts have no n-grams but
     two spaces, and score what the bias says. Repeated rows are scored each; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
-        table, bias = shared.value
-        z = np.array([bias + float(table[_held(x.as_py() or "", table)].sum()) for x in batch["text"]])
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        p = probabilities(shared.value, batch["text"])
         return {"doc_id": batch["doc_id"], "score": p, "predicted": (p >= threshold).astype(np.int32)}
 
     return map_batches(documents(docs, id_col, text_col), run, "doc_id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(probabilities(shared.value, batch[text_col]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

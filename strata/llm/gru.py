@@ -249,9 +249,9 @@ def fit(train: DataFrame, most_frequent: int = MOST_FREQUENT, most_docs: int = M
     counts = checkpointed(count(train))
     n, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = n / most_frequent
-    rows = counts.where(F.col("c") > least).toPandas().sort_values(["c", "h"], ascending=[False, True])
-    is_end = rows["h"].to_numpy() == END
-    frequent, c = np.append(END, rows["h"].to_numpy()[~is_end]), np.append(rows["c"].to_numpy()[is_end].sum(), rows["c"].to_numpy()[~is_end])
+    rows = counts.where(F.col("c") > least).toArrow().sort_by([("c", "descending"), ("h", "ascending")])
+    h, c = rows["h"].to_numpy(), rows["c"].to_numpy()
+    frequent, c = np.append(END, h[h != END]), np.append(c[h == END].sum(), c[h != END])
     held = min(len(frequent), CLASSES * CLASS_SIZE)
     model = Gru(c[:held].astype(float), float(n - c[:held].sum()))
     order = np.argsort(frequent)

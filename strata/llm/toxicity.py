@@ -17,7 +17,7 @@ from strata.llm.common import documents, map_batches
 
 SLOTS, SIZES = 1 << 20, (3, 4, 5, 6)
 #: Rows of each label that the model is fitted on at most, chosen by a hash, and features that it keeps.
-MOST_ROWS, MOST_FEATURES = {1: 8000, 0: 16000}, 8192
+MOST_ROWS, MOST_FEATURES = {1: 6000, 0: 10000}, 1024
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 #: Characters that are hashed at once.
 _CHUNK = 1 << 18
@@ -54,17 +54,16 @@ def _sample(docs: DataFrame, labels: DataFrame, most: dict[int, int]) -> DataFra
     return docs.join(F.broadcast(picked), "doc_id")
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, width: int, strength: float = 0.3, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows of (feature, value) by Adam over whole passes."""
-    at = np.concatenate([r["f0"] for r in rows]) if rows else np.zeros(0, np.int64)
-    value = np.concatenate([r["f1"] for r in rows]) if rows else np.zeros(0)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+def _fit(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, strength: float = 0.3, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression on the ratios of each row's features, listed row by row in at, by Adam over whole passes."""
+    width = len(ratio)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     w, b = np.zeros(width), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[at] * value, len(rows)) + b
+        z = np.bincount(row, (w * ratio)[at], len(sizes)) + b
         e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(at, e[row] * value, width) + strength * w
+        g = np.bincount(at, e[row], width) * ratio + strength * w
         gb = e.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c, d = 1 - 0.9**t, 1 - 0.99**t
@@ -92,13 +91,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None)
             # Slot -1 counts documents.
             yield pa.RecordBatch.from_pydict({"toxic": pa.array(np.full(len(at) + 1, label, np.int32)), "slot": pa.array(np.append(at, -1).astype(np.int32)), "n": pa.array(np.append(found[label, at], rows[label]).astype(np.int64))})
 
-    counted = sample.mapInArrow(count, "toxic int, slot int, n long").groupBy("slot", "toxic").agg(F.sum("n").alias("n"))
-    counts, rows = np.zeros((2, SLOTS)), np.zeros(2)
-    got = counted.where("n > 1 or slot < 0").toPandas()
+    of = [F.coalesce(F.sum(F.when(F.col("toxic") == i, F.col("n"))), F.lit(0)).cast("int").alias(f"n{i}") for i in (0, 1)]
+    counted = sample.mapInArrow(count, "toxic int, slot int, n long").groupBy("slot").agg(*of)
+    counts, rows = np.zeros((2, SLOTS), np.float32), np.zeros(2)
+    got = counted.where("n0 + n1 > 2 or slot < 0").toArrow()
+    slot = got["slot"].to_numpy()
     for label in (0, 1):
-        part = got[got["toxic"] == label]
-        counts[label, part["slot"][part["slot"] >= 0]] = part["n"][part["slot"] >= 0]
-        rows[label] = part["n"][part["slot"] < 0].sum()
+        n = got[f"n{label}"].to_numpy()
+        counts[label, slot[slot >= 0]] = n[slot >= 0]
+        rows[label] = n[slot < 0].sum()
     bias = float(np.log((rows[1] + 0.5) / (rows[0] + 0.5)))
     if not rows.all():
         return np.zeros(SLOTS, np.float32), float(np.clip(bias, -5, 5))
@@ -110,26 +111,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None)
     tells[counts.sum(0) < 3] = 0
     kept = np.sort(np.argsort(-tells, kind="stable")[:MOST_FEATURES])
     kept = kept[tells[kept] > 4]
-    table = np.zeros(SLOTS, np.float32)
-    table[kept] = ratio[kept]
-    shared = docs.sparkSession.sparkContext.broadcast(table != 0)
+    place = np.full(SLOTS, -1, np.int16)
+    place[kept] = np.arange(len(kept))
+    shared = docs.sparkSession.sparkContext.broadcast(place)
 
     def features(batch: pa.RecordBatch) -> dict:
-        held = [_held(x or "", shared.value) for x in batch["text"].to_pylist()]
-        return {"toxic": batch["toxic"], "slots": [x.tolist() for x in held]}
+        kept_slots = shared.value >= 0
+        return {"toxic": batch["toxic"], "held": [shared.value[_held(x or "", kept_slots)].tolist() for x in batch["text"].to_pylist()]}
 
-    total = sum(most.values())
-    rows_ = map_batches(sample, features, "toxic int, slots array<int>").orderBy(F.xxhash64("slots")).limit(total).toPandas()
-    place = np.zeros(SLOTS, np.int64)
-    place[kept] = np.arange(len(kept))
-    kind = np.dtype([("f0", np.int64), ("f1", np.float64)])
-    sparse = []
-    for x in rows_["slots"]:
-        x = np.asarray(x, np.int64)
-        r = np.empty(len(x), kind)
-        r["f0"], r["f1"] = place[x], ratio[x]
-        sparse.append(r)
-    w, b = _fit(sparse, rows_["toxic"].to_numpy(np.float64), len(kept))
+    got = map_batches(sample, features, "toxic int, held array<short>").orderBy(F.xxhash64("held")).limit(sum(most.values())).toArrow()
+    held = got["held"].combine_chunks()
+    w, b = _fit(held.flatten().to_numpy(), np.asarray(held.value_lengths()), got["toxic"].to_numpy().astype(np.float64), ratio[kept].astype(np.float64))
     out = np.zeros(SLOTS, np.float32)
     out[kept] = w * ratio[kept]
     return out, b

@@ -24,6 +24,7 @@ from strata.operators.merge import merge_levels
 from strata.operators.validate import validate
 from strata.plans import ddl
 from strata.plans.manifest import Manifest
+from strata.ship import ship
 from strata.sources.files import allowed_format
 from strata.sources.reader import read
 from strata.store import Store
@@ -111,6 +112,7 @@ class Engine:
     """``root`` holds tables, commits and logs, and is a folder of a file system that all executors share."""
 
     def __init__(self, spark: SparkSession, root: str, options: Options | None = None, manifests: str | None = None, cut: Callable[[DataFrame], DataFrame] = checkpointed):
+        ship(spark)
         self.spark, self.options, self.cut = spark, options or Options(), cut
         self.store, self.catalog = Store(spark, root), Catalog(manifests)
         self.code_lists = CodeLists(self.store)

@@ -249,7 +249,8 @@ def fit(train: DataFrame, most_frequent: int = MOST_FREQUENT, most_docs: int = M
     counts = checkpointed(count(train))
     n, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = n / most_frequent
-    rows = counts.where(F.col("c") > least).toArrow().sort_by([("c", "descending"), ("h", "ascending")])
+    # The end is among the frequent ones in any case.
+    rows = counts.where((F.col("c") > least) | (F.col("h") == END)).toArrow().sort_by([("c", "descending"), ("h", "ascending")])
     h, c = rows["h"].to_numpy(), rows["c"].to_numpy()
     frequent, c = np.append(END, h[h != END]), np.append(c[h == END].sum(), c[h != END])
     held = min(len(frequent), CLASSES * CLASS_SIZE)
@@ -273,7 +274,7 @@ def fit(train: DataFrame, most_frequent: int = MOST_FREQUENT, most_docs: int = M
         got = map_batches(picked.select("key", "text"), sampled, "key long, ids array<long>").orderBy("key", "ids").limit(most_docs).collect()
         model.train([np.array(r["ids"], np.int64) for r in got])
     tail = {"tail_tokens": int(n - c[:held].sum()), "tail_types": int(types - held) if n else 0}
-    return scorer, counts.where(F.col("c") <= least), {"train_tokens": int(n), "types": int(types)} | tail
+    return scorer, counts.where((F.col("c") <= least) & (F.col("h") != END)), {"train_tokens": int(n), "types": int(types)} | tail
 
 
 def scores(docs: DataFrame, fitted: tuple[Scorer, DataFrame, dict], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

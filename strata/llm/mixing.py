@@ -108,7 +108,7 @@ def mix(
     inside = Window.partitionBy("sidx", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["sidx", "chunk"]).withColumn("at", F.col("at") + F.col("offset"))
     b = F.lit(block).cast("long")
-    spans = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b)))
+    spans = F.when(F.col("size") > 0, F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}")))
     start = F.greatest(F.col("block") * b - F.col("at"), F.lit(0).cast("long"))
     pieces = placed.withColumn("block", F.explode_outer(spans)).select(
         "row", "doc_id", "size", "sidx", "source", "source_size", "target", "block", start.alias("start"),
@@ -122,21 +122,26 @@ def mix(
         "shard int, sidx int, first long, count long, blocks long",
     )
     index = drawn.repartition(min(shards, 4096), "shard", "sidx").withColumn("at", F.explode(F.expr("sequence(first, first + count - 1)")))
-    salt = F.xxhash64(F.lit(seed), F.col("sidx"), F.floor(F.col("at") / F.col("blocks")))
+    salt = F.xxhash64(F.lit(seed), F.col("sidx"), F.expr("at div blocks"))
     slots = index.select("shard", F.col("at").alias("slot"), "sidx", _permuted(F.pmod(F.col("at"), F.col("blocks")), F.col("blocks"), salt).alias("block"))
     return slots, pieces
 
 
+def _uses(slots: DataFrame) -> DataFrame:
+    """How often each block is used. The planner takes what is drawn for small and would broadcast it, so the join by
+    index is told to shuffle."""
+    return slots.groupBy("sidx", "block").agg(F.count("*").alias("uses")).hint("merge")
+
+
 def joined(slots: DataFrame, pieces: DataFrame) -> DataFrame:
     """The mix itself: for each shard and slot the pieces of the block that fills it."""
-    return slots.join(pieces.where("block is not null"), ["sidx", "block"]).select("shard", "slot", "source", "block", "row", "doc_id", "start", "n")
+    return slots.hint("merge").join(pieces.where("block is not null"), ["sidx", "block"]).select("shard", "slot", "source", "block", "row", "doc_id", "start", "n")
 
 
 def taken(slots: DataFrame, pieces: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) of every row, from blocks joined by index."""
-    uses = slots.groupBy("sidx", "block").agg(F.count("*").alias("uses"))
     return (
-        pieces.join(uses, ["sidx", "block"], "left")
+        pieces.join(_uses(slots), ["sidx", "block"], "left")
         .groupBy("row", "doc_id", "size", "source_size", "target")
         .agg(F.sum(F.coalesce(F.col("n") * F.col("uses"), F.lit(0))).alias("taken"))
         .drop("row")
@@ -148,8 +153,7 @@ def mixed(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_ch
     are used c times or more. A copy with all words keeps the text as it is; others join their words by spaces.
     Rows of which the mix takes no word go (so do texts without words)."""
     slots, pieces = mix(docs, text_col=text_col, **options)
-    uses = slots.groupBy("sidx", "block").agg(F.count("*").alias("uses"))
-    runs = pieces.join(uses, ["sidx", "block"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "n", "uses"))).alias("__runs"), F.max("uses").alias("__uses"))
+    runs = pieces.join(_uses(slots), ["sidx", "block"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "n", "uses"))).alias("__runs"), F.max("uses").alias("__uses"))
     rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(runs, F.col("__row") == F.col("row")).drop("row", "__row")
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__uses"))))
     rows = rows.withColumn("__runs", F.filter("__runs", lambda r: r["uses"] >= F.col("__copy")))

@@ -14,7 +14,8 @@ from strata.plans.manifest import Field, Kind
 
 #: What counts as a yes or a no, whatever the case.
 YES, NO = ("true", "1", "y", "yes"), ("false", "0", "n", "no")
-_EDGES = r"^[\s\p{Z}\x85]+|[\s\p{Z}\x85]+$"
+#: White space of any script.
+_SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _WHOLE, _REAL = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _ISO_DATE, _US_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
 _CLOCK = r"[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?"
@@ -26,7 +27,7 @@ _GUID = rf"^({_HEX}{{32}}|D|\{{D\}}|\(D\))$".replace("D", "-".join(f"{_HEX}{{{n}
 
 def trimmed(raw: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(raw, _EDGES, "")
+    return F.btrim(raw, F.lit(_SPACES))
 
 
 def blank(raw: Column) -> Column:
@@ -98,22 +99,29 @@ def shown(text: Column) -> Column:
     return F.when(F.length(text) > 60, F.concat(F.substring(text, 1, 57), F.lit("..."))).otherwise(text)
 
 
-def convert(raw: Column, field: Field, key: bool = False, key_length: int = 400) -> tuple[Column, Column]:
-    """(typed value, fault) of a field that is no lookup. The fault is the first of: not readable, missing though
-    required, too long, too wide; null if there is none."""
-    text = filled(raw, field.default)
-    value, fits = parsed(text, field.type, field.format, field.precision, field.scale)
-    value = F.when(text.isNotNull(), value)
+def finished(text: Column, value: Column, fits: Column, field: Field, key: bool = False, key_length: int = 400) -> tuple[Column, Column]:
+    """(typed value, fault) from the filled text and what parsed made of it. The fault is the first of: not readable,
+    missing though required, too long, too wide; null if there is none."""
     fault = F.when(text.isNotNull() & ~fits, F.concat(F.lit("cannot read '"), shown(text), F.lit(f"' as {field.type.value}")))
     if field.required:
         fault = fault.when(text.isNull(), F.lit("a value is required"))
     if field.type is Kind.STRING and (most := field.max_length or (key_length if key else None)):
-        fault = fault.when(utf16_length(text) > most, F.concat(utf16_length(text).cast("string"), F.lit(f" characters; at most {most} fit")))
+        # Few texts are long enough to be encoded for counting: one character is one or two units.
+        fault = fault.when((F.length(text) * 2 > most) & (utf16_length(text) > most), F.concat(utf16_length(text).cast("string"), F.lit(f" characters; at most {most} fit")))
     if field.type is Kind.DECIMAL:
         # The bound is typed as narrowly as it can be: comparing two wide decimals would round.
         digits = field.precision - field.scale
         bound = F.lit("1" + "0" * digits).cast(f"decimal({digits + 1},0)") if field.precision < 38 else None
         wide = value.isNull() | (F.abs(value) >= bound) if bound is not None else value.isNull()
         fault = fault.when(text.isNotNull() & wide, F.lit(f"does not fit decimal({field.precision},{field.scale})"))
-        value = F.when(fault.isNull(), value).try_cast(f"decimal({field.precision},{field.scale})")
-    return F.when(fault.isNull(), value), fault
+        # A value that is too wide is null in the narrower type by itself.
+        return value.try_cast(f"decimal({field.precision},{field.scale})"), fault
+    if field.type is Kind.STRING:
+        return F.when(fault.isNull(), value) if field.max_length or key else value, fault
+    return value, fault
+
+
+def convert(raw: Column, field: Field, key: bool = False, key_length: int = 400) -> tuple[Column, Column]:
+    """(typed value, fault) of a field that is no lookup, in one expression each."""
+    text = filled(raw, field.default)
+    return finished(text, *parsed(text, field.type, field.format, field.precision, field.scale), field, key, key_length)

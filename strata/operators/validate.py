@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.frames import Frames, issue
-from strata.functions.convert import blank, convert, filled
-from strata.plans.manifest import KEY_LENGTH, Entity, Field, Manifest, Source
+from strata.functions.convert import filled, finished, parsed
+from strata.plans.manifest import KEY_LENGTH, Entity, Field, Kind, Manifest, Source
 
 
 def raw_of(field: Field):
@@ -16,24 +16,36 @@ def raw_of(field: Field):
 
 
 def validate_entity(df: DataFrame, entity: Entity) -> DataFrame:
-    """Adds val: typed values, and for a lookup field the text to look up; appends at most one issue a field."""
+    """Adds val: typed values, and for a lookup field the text to look up; appends at most one issue a field.
+
+    Texts are trimmed in one projection and parsed in the next, so each is done once however often it is used.
+    """
     keys = {f.name for f in entity.key_fields()}
+    plain = [(i, f) for i, f in enumerate(entity.fields) if not f.lookup]
+    df = df.withColumns({f"__t{i}": filled(raw_of(f), f.default) for i, f in enumerate(entity.fields)})
+    made = {i: parsed(F.col(f"__t{i}"), f.type, f.format, f.precision, f.scale) for i, f in plain}
+    df = df.withColumns({f"__v{i}": value for i, (value, _) in made.items()})
+    # Of a decimal the form counts: a value may be null because it is too wide. Of others the value tells.
+    fits = {i: made[i][1] if f.type in (Kind.DECIMAL, Kind.STRING) else F.col(f"__v{i}").isNotNull() for i, f in plain}
     values, faults = [], []
-    for field in entity.fields:
+    for i, field in enumerate(entity.fields):
         raw = raw_of(field)
         if field.lookup:
-            values.append(filled(raw, field.default).alias(field.target))
+            values.append(F.col(f"__t{i}").alias(field.target))
             # A lookup's own default stands in for unknown values, not for missing ones.
-            missing = blank(raw) & F.lit(not (field.default or "").strip())
-            fault = F.when(missing, F.lit("a value is required")) if field.required else None
+            fault = F.when(F.col(f"__t{i}").isNull(), F.lit("a value is required")) if field.required else None
         else:
-            value, fault = convert(raw, field, field.name in keys, KEY_LENGTH)
+            value, fault = finished(F.col(f"__t{i}"), F.col(f"__v{i}"), fits[i], field, field.name in keys, KEY_LENGTH)
             values.append(value.alias(field.target))
+            if field.type is Kind.STRING and not field.required and not field.max_length and field.name not in keys:
+                fault = None
         if fault is not None:
             faults.append(F.when(fault.isNotNull(), issue(field.name, fault, raw)))
-    found = F.filter(F.array(*faults), lambda i: i.isNotNull()) if faults else None
-    df = df.withColumn("val", F.struct(*values))
-    return df.withColumn("issues", F.concat("issues", found)) if found is not None else df
+    if faults:
+        df = df.withColumn("__f", F.array(*faults))
+        found = F.when(F.exists("__f", lambda i: i.isNotNull()), F.concat("issues", F.filter("__f", lambda i: i.isNotNull()))).otherwise(F.col("issues"))
+        df = df.withColumn("issues", found)
+    return df.withColumn("val", F.struct(*values)).drop("__f", *[f"__{k}{i}" for i in range(len(entity.fields)) for k in "tv"])
 
 
 def require_children(frames: Frames, entity: Entity) -> DataFrame:

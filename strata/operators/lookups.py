@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strata.errors import LookupRejected
 from strata.frames import Frames, issue
 from strata.functions.convert import shown, trimmed
+from strata.lineage import checkpointed
 from strata.operators.validate import raw_of
 from strata.plans.manifest import Entity, Field, Manifest, Missing
 
@@ -87,8 +88,9 @@ def looked_up(df: DataFrame, entity: Entity, field: Field, provider: Provider, o
                 found = provider.resolve(lookup.list, keys.select("key"), lookup.case_insensitive)
         elif on_reject_file and (some := missing.orderBy("first").limit(1).collect()):
             raise LookupRejected(f"{entity.name}.{field.name}: '{some[0]['key']}' is not in {lookup.list}")
-    found = found.select(F.col("key").alias("__found"), F.col("value").cast(target).alias("__value"))
-    if found.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    # What was found is kept: counting it, and the join, then read few rows instead of all records again.
+    found = checkpointed(found.select(F.col("key").alias("__found"), F.col("value").cast(target).alias("__value")))
+    if found.count() <= BROADCAST_KEYS:
         found = F.broadcast(found)
     df = df.join(found, F.col("__key") == F.col("__found"), "left")
     value = F.col("__value")

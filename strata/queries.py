@@ -525,7 +525,8 @@ def hierarchy(spark, sf_dir) -> dict[str, DataFrame]:
     """The accepted trees merged into empty tables; of lines with one number the last by place counts."""
     from strata.lineage import checkpointed
 
-    frames = {k: checkpointed(v) for k, v in accepted(spark, sf_dir).items()}
+    frames = {k: checkpointed(v) for k, v in checked(spark, sf_dir).items()}
+    frames = split.accepted(frames, checkpointed(split.bad_roots(frames)))
     tables: dict[str, DataFrame] = {}
     empty = lambda e, p: spark.createDataFrame([], e.table_schema(p is not None))
     merge_levels(frames, MANIFEST, empty, lambda e, df: tables.update({e.name: df}), "last_wins", checkpointed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import io
+import re
 import zipfile
 from collections.abc import Iterable, Iterator
 
@@ -11,43 +12,48 @@ from strata.errors import SourceError
 from strata.plans.manifest import Entity, Manifest
 
 
-def rows(chunks: Iterable[str], delimiter: str = ",") -> Iterator[tuple[int, list[str]]]:
-    """(line that the row starts on, fields). Quotes as in RFC 4180, and leniently: a quote within an unquoted field is
-    kept, an open quote ends with the file. Line ends in quotes become LF; blank lines are no rows."""
-    quoted = closed = seen = after_cr = False
-    fields: list[str] = []
-    text: list[str] = []
-    line = start = 1
+_LINE_END = re.compile(r"\r\n|\r|\n")
+_QUOTED = re.compile(r'(?:[^"]|"")*')
+
+
+def lines(chunks: Iterable[str]) -> Iterator[str]:
+    """Physical lines without their ends (CR, LF or CRLF); the last one may be empty."""
+    held = ""
     for chunk in chunks:
-        for c in chunk:
-            if after_cr:
-                after_cr = False
-                if c == "\n":
-                    continue
-            if c in "\r\n":
-                after_cr, line = c == "\r", line + 1
-                if quoted:
-                    text.append("\n")
-                    continue
-                if seen or fields or text:
-                    yield start, [*fields, "".join(text)]
-                fields, text, seen, closed, start = [], [], False, False, line
-            elif quoted:
-                quoted, closed = c != '"', c == '"'
-                if quoted:
-                    text.append(c)
-            elif c == '"' and (closed or not text):
-                if closed:
-                    text.append(c)
-                quoted, closed, seen = True, False, True
-            elif c == delimiter:
-                fields.append("".join(text))
-                text, seen, closed = [], True, False
-            else:
-                text.append(c)
-                seen, closed = True, False
-    if seen or fields or text:
-        yield start, [*fields, "".join(text)]
+        held += chunk
+        # A CR at the end may be half of a line end.
+        whole = held[:-1] if held.endswith("\r") else held
+        *done, last = _LINE_END.split(whole)
+        yield from done
+        held = last + held[len(whole) :]
+    yield from _LINE_END.split(held)
+
+
+def rows(chunks: Iterable[str], delimiter: str = ",") -> Iterator[tuple[int, list[str]]]:
+    """(line that the row starts on, fields). A field that begins with a quote runs to its closing quote, over lines
+    if need be, joined by LF; what follows up to the delimiter is kept, as is a quote within other fields. A quote
+    that is never closed runs to the end. Empty lines are no rows."""
+    numbered = enumerate(lines(chunks), 1)
+    for start, text in numbered:
+        if not text:
+            continue
+        fields, at = [], 0
+        while True:
+            body = ""
+            if text.startswith('"', at):
+                found = at + 1
+                while (end := _QUOTED.match(text, found).end()) == len(text):
+                    _, more = next(numbered, (0, None))
+                    if more is None:
+                        break
+                    text, found = f"{text}\n{more}", end
+                body, at = text[at + 1 : end].replace('""', '"'), end + 1
+            stop = text.find(delimiter, at)
+            fields.append(body + text[at : stop if stop >= 0 else len(text)])
+            if stop < 0:
+                break
+            at = stop + 1
+        yield start, fields
 
 
 def decoded(stream, encoding: str) -> io.TextIOWrapper:

@@ -150,6 +150,11 @@ def test_numbers_are_dense_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(m, "RANGE_ROWS", 10)
     found = numbered(spark.range(0, 300, 3).selectExpr("id AS root_ord", "cast(id AS string) AS rec_id"), ["root_ord", "rec_id"], 7, "n").orderBy("root_ord").collect()
     assert [r.n for r in found] == list(range(8, 108))
+    # One root holds most rows: its range is dealt on.
+    hot = spark.range(200).selectExpr("if(id < 150, 5, id) AS root_ord", "cast(id AS string) AS rec_id")
+    assert sorted(r.n for r in numbered(hot, ["root_ord", "rec_id"], 0, "n").collect()) == list(range(1, 201))
+    none = spark.range(30).selectExpr("cast(null AS long) AS root_ord", "cast(id AS string) AS rec_id")
+    assert sorted(r.n for r in numbered(none, ["root_ord", "rec_id"], 0, "n").collect()) == list(range(1, 31))
 
 
 def test_commits_are_atomic_and_exclusive(spark, tmp_path):

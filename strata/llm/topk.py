@@ -48,11 +48,15 @@ class BallTree:
             self.rows.append(None)
             todo += [(rows[order[: len(rows) // 2]], node, 0), (rows[order[len(rows) // 2 :]], node, 1)]
         self.centres, self.radius = np.array(centres), np.array(self.radius)
+        self.far = np.sqrt((self.centres**2).sum(axis=1))
 
     def search(self, query: np.ndarray, k: int, ids: np.ndarray, own: int, floor: float) -> list[tuple[int, int]]:
         """The k best (score, -id) not below floor; ids equal to own take no part."""
-        bounds = self.centres @ query.astype(np.float64) + np.sqrt(float((query.astype(np.float64) ** 2).sum())) * self.radius
-        bounds = bounds + 1e-9 * np.abs(bounds) + 1
+        real = query.astype(np.float64)
+        size = np.sqrt(float((real**2).sum()))
+        bounds = self.centres @ real + size * self.radius
+        # Rounding is relative to the sizes of what is multiplied, which may be far larger than the bound itself.
+        bounds += 1e-12 * size * (self.far + self.radius) + 1
         best: list[tuple[int, int]] = []
         heap = [(-bounds[0], 0)]
         while heap and -heap[0][0] >= floor:

@@ -94,6 +94,16 @@ def test_ball_trees_prune_and_keep_ties():
         assert found == best
 
 
+def test_ball_bounds_hold_far_from_the_origin():
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-3, 4, (600, 32)) + rng.choice([-1, 1], 32) * (1 << 23)
+    tree, ids = topk.BallTree(vectors, 8), np.arange(600)
+    for q in rng.integers(-(1 << 23), 1 << 23, (20, 32)):
+        exact = sorted(((int(s), -i) for i, s in enumerate(vectors @ q)), reverse=True)[:5]
+        assert sorted(tree.search(q, 5, ids, -1, -np.inf), reverse=True) == exact
+
+
+
 # --- URLs
 
 

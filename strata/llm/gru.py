@@ -3,8 +3,10 @@
 Tokens are words, A-Z lower-cased, and one end for each document. Counts, and with them the base, the classes and
 what a rare word gets, cover every training document. The output is class-factored: the most frequent words are in
 classes of equal size, P(word) = P(class) P(word in class); all others are one last class, in which a word's share is
-its smoothed count. The recurrent weights are fitted in numpy by truncated backpropagation over windows of a bounded
-sample of the training documents. In scoring the state is carried from window to window, so a score is the
+its smoothed count. How many words are in classes grows with the corpus. The recurrent weights are fitted in numpy by
+truncated backpropagation: first weights come from a small sample, then every training document is read once, whole,
+in ROUNDS rounds; in a round each partition goes on from the same weights and their mean, by tokens, is what the next
+begins with. In scoring the state is carried from window to window, so a score is the
 log-likelihood of the whole document.
 
 Counts of words that make up over 1 / MOST_FREQUENT of the corpus, of which there cannot be more than
@@ -13,6 +15,8 @@ MOST_FREQUENT, go to every executor; a document's other words are joined to thei
 
 from __future__ import annotations
 
+import copy
+import math
 from collections import Counter
 
 import numpy as np
@@ -23,10 +27,13 @@ from xxhash import xxh64_intdigest
 
 from strata.llm.common import checkpointed, documents, map_batches
 
-#: Bound of the words whose counts are broadcast, classes, words in a class, width of the state.
+#: Bound of the words whose counts are broadcast, least classes, least words in a class, width of the state.
 MOST_FREQUENT, CLASSES, CLASS_SIZE, STATE = 1 << 18, 32, 32, 16
-#: Documents and tokens of each that the recurrent weights are fitted on at most; steps of backpropagation.
+#: Documents and tokens of each that the first recurrent weights are fitted on at most; steps of backpropagation.
 MOST_DOCS, MOST_TOKENS, STEPS = 3000, 200, 25
+#: Rounds that share out the training documents; sequences stepped together, and their rate; tokens held at once, and
+#: weights in a row of those that are averaged.
+ROUNDS, LANES, RATE, AT_ONCE, PIECE = 2, 512, 0.01, 1 << 21, 8192
 CACHED_WORDS = 300_000
 #: The end token's hash is that of no bytes, which no word has.
 END = int(np.uint64(xxh64_intdigest(b"")).astype(np.int64))
@@ -97,6 +104,16 @@ class Gru:
         c = np.tanh(g[:, 2 * n :] + zr[:, n:] * hu[:, 2 * n :])
         return h + zr[:, :n] * (c - h), (h, hu, zr, c)
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def set_flat(self, weights: np.ndarray) -> None:
+        """Weights in the order of flat; none at all change nothing."""
+        at = 0
+        for k in sorted(self.p) if len(weights) else ():
+            self.p[k] = weights[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
+            at += self.p[k].size
+
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """ln P(class) P(word in class) of each id after each state; for the tail class P(class) alone."""
         group = ids // self.size
@@ -149,28 +166,32 @@ class Gru:
         flat = np.concatenate(texts)
         fresh = np.zeros(len(flat), bool)
         fresh[np.cumsum([0, *map(len, texts[:-1])])] = True
-        lanes = max(1, min(lanes, len(flat) // STEPS))
-        wide = len(flat) // lanes
-        out_ids, new = flat[: wide * lanes].reshape(lanes, wide), fresh[: wide * lanes].reshape(lanes, wide)
-        in_ids = np.zeros_like(out_ids)
-        in_ids[:, 1:] = out_ids[:, :-1]
-        in_ids[new] = 0
+        before = np.append(flat[:1] * 0, flat[:-1])
+        before[fresh] = 0
+        lanes = max(1, min(lanes, len(flat) // STEPS, max(64, len(flat) // (100 * STEPS))))
+        wide = -(-len(flat) // lanes)
+        # What fills up the last lanes counts nothing.
+        lay = lambda x: np.append(x, np.zeros(wide * lanes - len(x), x.dtype)).reshape(lanes, wide)
+        out_ids, in_ids, new, real = lay(flat), lay(before), lay(fresh), lay(np.ones(len(flat), bool))
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         t, last = 0, rounds * -(-wide // STEPS)
         for _ in range(rounds):
             h = np.zeros((lanes, self.state), np.float32)
             for at in range(0, wide, STEPS):
                 cut = slice(at, min(wide, at + STEPS))
-                h, grads = self._window(in_ids[:, cut], out_ids[:, cut], new[:, cut], h)
+                h, grads = self._window(in_ids[:, cut], out_ids[:, cut], new[:, cut], h, real[:, cut])
                 t += 1
                 for k, g in grads.items():
-                    m, v = moment[k]
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    self.p[k] -= rate * (1 - 0.9 * t / last) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-
-    def _window(self, in_ids, out_ids, new, h):
-        """Last state and gradients of the mean loss of one window."""
+                    # Of the words, only those that were read move.
+                    at_ = np.unique(in_ids[:, cut]) if k == "x" else slice(None)
+                    m, v, g = moment[k][0][at_], moment[k][1][at_], g[at_]
+                    m = m + 0.1 * (g - m)
+                    v = v + 0.01 * (g * g - v)
+                    moment[k][0][at_], moment[k][1][at_] = m, v
+                    self.p[k][at_] -= rate * (1 - 0.9 * t / last) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+
+    def _window(self, in_ids, out_ids, new, h, real=None):
+        """Last state and gradients of the mean loss of one window, over the places that are real."""
         p, n = self.p, self.state
         lanes, steps = in_ids.shape
         kept, states = [], []
@@ -181,20 +202,29 @@ class Gru:
             states.append(h)
         hs, ids = np.concatenate(states), out_ids.T.ravel()
         group = np.where(ids == self.n, self.classes, ids // self.size)
-        rows, scale = np.arange(len(ids)), np.float32(1 / len(ids))
-        e = np.exp((logits := hs @ p["cw"] + p["cb"]) - logits.max(axis=1, keepdims=True))
-        e /= e.sum(axis=1, keepdims=True)
-        e[rows, group] -= 1
-        e *= scale
+        rows = np.arange(len(ids))
+        counts = np.ones(len(ids), np.float32) if real is None else real.T.ravel().astype(np.float32)
+        scale = (counts / max(1.0, float(counts.sum())))[:, None]
+
+        def errors(h, w, b, held, scale):
+            """Scaled softmax of h @ w + b less what was held, in place: passes over it are most of the time."""
+            e = h @ w
+            e += b
+            e -= e.max(axis=1, keepdims=True)
+            np.exp(e, out=e)
+            e *= scale / e.sum(axis=1, keepdims=True)
+            e[rows[: len(e)], held] -= scale[:, 0]
+            return e
+
+        e = errors(hs, p["cw"], p["cb"], group, scale)
         grads = {"cw": hs.T @ e, "cb": e.sum(axis=0), "ww": np.zeros_like(p["ww"]), "wb": np.zeros_like(p["wb"])}
         dh = e @ p["cw"].T
-        for k in np.unique(group[group < self.classes]):
-            at = np.flatnonzero(group == k)
-            e = np.exp((logits := hs[at] @ p["ww"][k] + p["wb"][k]) - logits.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            e[np.arange(len(at)), ids[at] - k * self.size] -= 1
-            e *= scale
-            grads["ww"][k], grads["wb"][k] = hs[at].T @ e, e.sum(axis=0)
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            at = order[cuts[k] : cuts[k + 1]]
+            e = errors(some := hs[at], p["ww"][k], p["wb"][k], ids[at] - k * self.size, scale[at])
+            grads["ww"][k], grads["wb"][k] = some.T @ e, e.sum(axis=0)
             dh[at] += e @ p["ww"][k].T
         dh, grads["u"], gates = dh.reshape(steps, lanes, n), np.zeros_like(p["u"]), np.empty((steps, lanes, 3 * n), np.float32)
         back = np.zeros((lanes, n), np.float32)
@@ -209,7 +239,10 @@ class Gru:
             grads["u"] += prev.T @ da
             back = (d * (1 - z) + da @ p["u"].T) * ~new[:, s, None]
         flat = in_ids.T.ravel()
-        grads["x"] = np.stack([np.bincount(flat, g, self.n + 1) for g in gates.reshape(-1, 3 * n).T], axis=1).astype(np.float32)
+        order = np.argsort(flat, kind="stable")
+        read, first = np.unique(flat[order], return_index=True)
+        grads["x"] = np.zeros_like(p["x"])
+        grads["x"][read] = np.add.reduceat(gates.reshape(-1, 3 * n)[order], first)
         return h, {k: np.clip(g, -1, 1) for k, g in grads.items()}
 
 
@@ -243,6 +276,38 @@ class Scorer:
         return np.where(known, self.places[np.where(known, codes, 0)], self.model.n), known
 
 
+def _learned(train: DataFrame, scorer: Scorer) -> np.ndarray:
+    """The weights that a pass over every token of train (doc_id, text) leads to from the scorer's: the mean over
+    partitions, by tokens. A partition holds AT_ONCE tokens, a task of the mean one piece of each partition's weights."""
+    shared = train.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches):
+        s = shared.value
+        model, end, seen, held, size = copy.deepcopy(s.model), np.searchsorted(s.frequent, END), 0, [], 0
+        for batch in batches:
+            for text in batch["text"]:
+                held.append(s.ids(np.append(s.codes(tokens(text.as_py() or "")), end))[0].astype(np.int32))
+                size += len(held[-1])
+                if size >= AT_ONCE:
+                    model.train(held, LANES, 1, RATE)
+                    seen, held, size = seen + size, [], 0
+        if held:
+            model.train(held, LANES, 1, RATE)
+        if seen + size:
+            flat = model.flat()
+            for at in range(0, len(flat), PIECE):
+                yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int64()), "n": pa.array([seen + size], pa.int64()), "w": pa.array([flat[at : at + PIECE]], pa.list_(pa.float32()))})
+
+    def mean(rows):
+        w = np.stack(rows["w"].to_list()).astype(np.float64)
+        return rows[["at"]].iloc[:1].assign(w=[np.average(w, axis=0, weights=rows["n"].to_numpy())])
+
+    pieces = train.select("text").mapInArrow(run, "at long, n long, w array<float>").groupBy("at").applyInPandas(mean, "at long, w array<double>")
+    got = sorted(pieces.collect(), key=lambda r: r["at"])
+    shared.unpersist()
+    return np.concatenate([np.array(r["w"]) for r in got]) if got else np.zeros(0)
+
+
 def fit(train: DataFrame, most_frequent: int = MOST_FREQUENT, most_docs: int = MOST_DOCS) -> tuple[Scorer, DataFrame, dict]:
     """The model, the counts (h, c) of the words that are not frequent, and totals: train_tokens, types, and both of
     the tail class. train: doc_id, text."""
@@ -253,8 +318,9 @@ def fit(train: DataFrame, most_frequent: int = MOST_FREQUENT, most_docs: int = M
     rows = counts.where((F.col("c") > least) | (F.col("h") == END)).toArrow().sort_by([("c", "descending"), ("h", "ascending")])
     h, c = rows["h"].to_numpy(), rows["c"].to_numpy()
     frequent, c = np.append(END, h[h != END]), np.append(c[h == END].sum(), c[h != END])
-    held = min(len(frequent), CLASSES * CLASS_SIZE)
-    model = Gru(c[:held].astype(float), float(n - c[:held].sum()))
+    # The words in classes grow with the root of the corpus, classes and their sizes with its fourth root.
+    held = min(len(frequent), max(CLASSES * CLASS_SIZE, math.isqrt(n)))
+    model = Gru(c[:held].astype(float), float(n - c[:held].sum()), size=max(CLASS_SIZE, math.ceil(held**0.5)))
     order = np.argsort(frequent)
     places = np.minimum(np.arange(len(frequent)), held)[order]
     scorer = Scorer(frequent[order], c[order].astype(np.int64), places, model)
@@ -273,6 +339,9 @@ def fit(train: DataFrame, most_frequent: int = MOST_FREQUENT, most_docs: int = M
         picked = train.withColumn("key", F.xxhash64("doc_id", "text")).where(F.pmod("key", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * most_docs / docs)))
         got = map_batches(picked.select("key", "text"), sampled, "key long, ids array<long>").orderBy("key", "ids").limit(most_docs).collect()
         model.train([np.array(r["ids"], np.int64) for r in got])
+        for i in range(ROUNDS):
+            some = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == i)
+            model.set_flat(_learned(some, scorer))
     tail = {"tail_tokens": int(n - c[:held].sum()), "tail_types": int(types - held) if n else 0}
     return scorer, counts.where((F.col("c") <= least) & (F.col("h") != END)), {"train_tokens": int(n), "types": int(types)} | tail
 

@@ -158,3 +158,30 @@ def test_language_model_base_and_counts(spark, monkeypatch):
 def test_the_model_beats_its_base_on_held_out_rows(spark):
     row = queries.op9_gru(spark, SF).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert row["s"] > row["b"]
+
+
+def test_the_model_learns_from_all_training_tokens(spark, monkeypatch):
+    # No sample at all, and what can be learned comes after 400 other tokens.
+    monkeypatch.setattr(gru, "CLASSES", 2)
+    monkeypatch.setattr(gru, "CLASS_SIZE", 2)
+    rng = random.Random(6)
+    docs = [(i, " ".join([f"w{rng.randint(0, 50)}" for _ in range(400)] + ["tick tock"] * 800)) for i in range(200)]
+    train = spark.createDataFrame(docs, "doc_id long, text string").repartition(3, "doc_id")
+    fitted = gru.fit(train, most_docs=0)
+    assert fitted[0].model.n == 54  # all words, not the four that two classes of two hold
+    row = gru.scores(train, fitted).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert row["s"] > 0.8 * row["b"]
+
+
+def test_every_token_of_uneven_texts_is_trained_on():
+    model, seen = gru.Gru(np.arange(10, 0, -1.0), 5.0, size=4, state=3), Counter()
+    window = model._window
+
+    def counted(before, ids, new, h, real=None):
+        seen.update(ids[real].tolist() if real is not None else ids.ravel().tolist())
+        return window(before, ids, new, h, real)
+
+    model._window = counted
+    texts = [np.random.default_rng(i).integers(0, 11, n) for i, n in enumerate((701, 3, 1, 330))]
+    model.train(texts, lanes=8, rounds=1)
+    assert seen == Counter(np.concatenate(texts).tolist())

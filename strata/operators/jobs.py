@@ -65,6 +65,17 @@ def complete(jobs: DataFrame, job_id: str, attempt: int, now: Column, read: int,
     return _set(jobs, _mine(job_id, attempt), status=outcome(rejected).value, completed=now, records_read=read, records_rejected=rejected, inserted=inserted, updated=updated)
 
 
+def complete_all(jobs: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """Many jobs completed at once, by one join. done: id, attempt, read, rejected, inserted, updated; as with complete,
+    rows of an attempt that does not hold its job change nothing. Of several rows of one attempt one counts."""
+    counts = {"records_read": "read", "records_rejected": "rejected", "inserted": "inserted", "updated": "updated"}
+    one = done.dropDuplicates(["id", "attempt"]).select(F.col("id").alias("__id"), F.col("attempt").alias("__attempt"), *[F.col(v).alias(f"__{v}") for v in counts.values()])
+    mine = (F.col("id") == F.col("__id")) & (F.col("status") == Status.PROCESSING.value) & (F.col("attempt") == F.col("__attempt"))
+    joined = jobs.join(one, mine, "left").withColumn("__mine", F.col("__id").isNotNull())
+    status = F.when(F.col("__rejected") > 0, outcome(1).value).otherwise(outcome(0).value)
+    return _set(joined, F.col("__mine"), status=status, completed=now, **{k: F.col(f"__{v}") for k, v in counts.items()}).select(*jobs.columns)
+
+
 def failed_columns(now: Column) -> dict[str, Column]:
     """What becomes of a job that failed: a later attempt, base x 2^(attempt - 1) seconds on, or the dead letters."""
     last = F.col("attempt") >= F.col("max_attempts")

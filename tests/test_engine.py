@@ -173,3 +173,17 @@ def test_registered_queries_have_sql_with_the_same_columns(spark):
 
     assert set(QUERIES) - set(ORACLE_SQL) == {"metrics_summary"}
     assert QUERIES["tree_reject_counts"](spark, "/root/testdata/sf0.001").columns == ["rejections", "bad_roots", "records_read", "records_rejected"]
+
+
+def test_whole_job_tables_are_completed_and_released(spark):
+    import duckdb
+
+    from strata import queries
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    for name in ("jobs_status", "jobs_status_all", "jobs_release", "jobs_release_all"):
+        found = sorted(tuple(r) for r in queries.QUERIES[name](spark, sf).collect())
+        assert found == sorted(con.sql(queries.ORACLE_SQL[name]).fetchall()), name
+        assert len(found) == con.sql("SELECT count(*) FROM events").fetchall()[0][0] or not name.endswith("_all")

@@ -17,10 +17,12 @@ from strata.llm.common import documents, map_batches
 
 SLOTS, SIZES = 1 << 20, (3, 4, 5, 6)
 #: Rows of each label that the model is fitted on at most, chosen by a hash, and features that it keeps.
-MOST_ROWS, MOST_FEATURES = {1: 6000, 0: 10000}, 1024
+MOST_ROWS, MOST_FEATURES = {1: 8000, 0: 16000}, 8192
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 #: Characters that are hashed at once.
 _CHUNK = 1 << 18
+#: Features of rows that the fit takes at once, of which it holds some doubles each.
+_AT_ONCE = 1 << 20
 
 
 def slots(text: str):
@@ -57,14 +59,19 @@ def _sample(docs: DataFrame, labels: DataFrame, most: dict[int, int]) -> DataFra
 def _fit(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, strength: float = 0.3, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on the ratios of each row's features, listed row by row in at, by Adam over whole passes."""
     width = len(ratio)
-    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], _AT_ONCE)), len(sizes)))
+    parts = [(i, j, at[ends[i] : ends[j]], sizes[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
     w, b = np.zeros(width), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(row, (w * ratio)[at], len(sizes)) + b
-        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(at, e[row], width) * ratio + strength * w
-        gb = e.sum()
+        each, g, gb = w * ratio, np.zeros(width), 0.0
+        for i, j, some, n in parts:
+            row = np.repeat(np.arange(j - i), n)
+            e = 1 / (1 + np.exp(-np.clip(np.bincount(row, each[some], j - i) + b, -30, 30))) - y[i:j]
+            g += np.bincount(some, e[row], width)
+            gb += e.sum()
+        g = g * ratio + strength * w
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c, d = 1 - 0.9**t, 1 - 0.99**t
         rate = 0.1 * min(1, 2 * (rounds - t) / rounds)

@@ -47,6 +47,24 @@ def test_toxicity_of_awkward_rows(spark):
         assert toxicity.score(docs, toxicity.fit(docs.select("doc_id", "text"), some)).count() == len(rows)
 
 
+def test_every_telling_feature_is_kept(spark):
+    rng = random.Random(8)
+    bad, good = ([f"{c}{rng.randint(10**7, 10**8)}" for _ in range(150)] for c in "xy")
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(bad if i % 2 else good, 30))) for i in range(400)], "doc_id long, text string")
+    weights, _ = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    assert np.count_nonzero(weights) > 4000
+
+
+def test_the_fit_does_not_depend_on_how_much_it_takes_at_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(0, 9, 50)
+    rows = rng.integers(0, 20, sizes.sum()).astype(np.int16), sizes, (rng.random(50) < 0.5).astype(float), rng.normal(size=20)
+    whole = toxicity._fit(*rows)
+    monkeypatch.setattr(toxicity, "_AT_ONCE", 7)
+    parts = toxicity._fit(*rows)
+    assert np.allclose(whole[0], parts[0]) and abs(whole[1] - parts[1]) < 1e-9
+
+
 def test_forward_backward_sums_over_all_paths():
     rng = np.random.default_rng(1)
     t = rng.uniform(0.1, 1, (3, 3))

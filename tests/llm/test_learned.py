@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strata.llm import gru, langid, queries, toxicity
@@ -67,10 +68,10 @@ def test_the_fit_does_not_depend_on_how_much_it_takes_at_once(monkeypatch):
 
 def test_forward_backward_sums_over_all_paths():
     rng = np.random.default_rng(1)
-    t = rng.uniform(0.1, 1, (3, 3))
-    emissions = [rng.uniform(0.1, 1, (n, 3)) for n in (4, 1, 0, 3, 4)]
-    found, _ = langid.forward_backward(emissions, t)
-    for e, p in zip(emissions, found, strict=True):
+    t, lengths = rng.uniform(0.1, 1, (3, 3)), [4, 1, 0, 3, 4]
+    flat = rng.uniform(0.1, 1, (sum(lengths), 3))
+    found, _ = langid.forward_backward(flat, lengths, t)
+    for e, p in zip(np.split(flat, np.cumsum(lengths)[:-1]), np.split(found, np.cumsum(lengths)[:-1]), strict=True):
         want = np.zeros((len(e), 3))
         for path in product(range(3), repeat=len(e)):
             w = math.prod(e[i, y] for i, y in enumerate(path)) * math.prod(t[a, b] for a, b in zip(path, path[1:], strict=False))
@@ -79,10 +80,99 @@ def test_forward_backward_sums_over_all_paths():
         assert np.allclose(p, want / want.sum(axis=1, keepdims=True)) if len(e) else p.shape == (0, 3)
 
 
+def plain_forward_backward(e, t):
+    forward, backward = [e[0] / e[0].sum()], [np.ones(e.shape[1])]
+    for x in e[1:]:
+        a = (forward[-1] @ t) * x
+        forward.append(a / a.sum())
+    for x in e[:0:-1]:
+        b = t @ (x * backward[-1])
+        backward.append(b / b.sum())
+    both = np.array(forward) * np.array(backward[::-1])
+    return both / both.sum(axis=1, keepdims=True)
+
+
+def test_segments_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    t, lengths = np.exp(rng.normal(0, 2, (4, 4))), [500, 1, 0, 7, 131, 8, 9, 64, 0]
+    flat = np.exp(-rng.uniform(0, 30, (sum(lengths), 4)))
+    for size in (1, 4, 7, 64, 1000):
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        monkeypatch.setattr(langid, "isqrt", lambda _: 1)
+        found = langid.forward_backward(flat, lengths, t)[0]
+        for e, p in zip(np.split(flat, np.cumsum(lengths)[:-1]), np.split(found, np.cumsum(lengths)[:-1]), strict=True):
+            assert not len(e) or np.allclose(p, plain_forward_backward(e, t), atol=1e-12)
+
+
+def plain_words(text):
+    out, run = [], ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            run += c
+        else:
+            out += [run[i : i + langid.LONGEST] for i in range(0, len(run), langid.LONGEST)]
+            run = ""
+    return out
+
+
+def plain_features(word, lexicon):
+    """The slots of one word, letter by letter."""
+    m, (a, b, c, d) = (1 << 64) - 1, map(int, (langid._A, langid._B, langid._C, langid._D))
+    slot = lambda x: (x * a & m) >> 48
+    x = [ord(y) + 1 for y in word]
+    out = [slot(7)]
+    out += [slot(u * b + v * c + 2) for u, v in zip(x, x[1:], strict=False)]
+    out += [slot(u * b + v * c + w * d + 3) for u, v, w in zip(x, x[1:], x[2:], strict=False)]
+    out += [slot(u * b + 1) for u in x if u > 128]
+    for tag, some in ((16, x), (32, x[::-1])):
+        for n in range(1, min(3, len(x)) + 1):
+            out.append(slot(tag + sum(u * times + 1 for u, times in zip(some[:n], (b, c, d), strict=False))))
+    whole = int(langid._whole(langid.Words([word]))[0])
+    return sorted(out + ([slot(whole + 8 & m)] if whole in lexicon else []))
+
+
+AWKWARD = ["", " ", "Üben x, a-b ab 'abc", "12 ²³ ,;", "数据" * 40 + " İstanbul ſtraße", "a" * 24 + "b", "a" * 24 + "c", "\ud800 x\udfff", "日本語テキスト", "é́e"]
+
+
+def test_words_and_features_against_plain_versions():
+    found = langid.Words(AWKWARD)
+    want = [plain_words(x) for x in AWKWARD]
+    assert found.strings() == [w for x in want for w in x] and found.counts.tolist() == list(map(len, want))
+    lexicon = np.unique(langid._whole(langid.Words(["ab abc üben"])))
+    letters, by_word = langid.features(found, lexicon)
+    for i, (word, a, n) in enumerate(zip(found.strings(), found.starts, found.lengths, strict=True)):
+        mine = [int(x[j]) for x in letters for j in range(a, a + n)] + [int(x[i]) for x in by_word]
+        assert sorted(x for x in mine if x != langid.SLOTS) == plain_features(word, set(lexicon.tolist())), word
+    assert plain_features("a" * 23 + "b", set()) != plain_features("a" * 23 + "c", set())
+
+
+def test_every_letter_of_a_long_run_counts():
+    one, two = (np.bincount(np.concatenate([*x, *y]), minlength=langid.SLOTS + 1)[:-1] for x, y in (langid.features(langid.Words(["x" * 100 + c + "y" * 30]), np.zeros(0, np.uint64)) for c in "ab"))
+    assert (one != two).any()
+
+
+def test_judged_languages_against_a_plain_version(monkeypatch):
+    rng = np.random.default_rng(4)
+    crf = langid.Crf(["de", "en", "fr"], np.unique(langid._whole(langid.Words(["ab abc üben"]))), np.append(rng.normal(size=(langid.SLOTS, 3)), np.zeros((1, 3)), axis=0), rng.normal(size=(3, 3)))
+    texts = AWKWARD + [None, "ab abc " * 300 + "üben"]
+    for at_once in (1, 50, 10**6):
+        monkeypatch.setattr(langid, "AT_ONCE", at_once)
+        monkeypatch.setattr(langid, "LETTERS_AT_ONCE", at_once)
+        lang, score = langid.judge(crf, pa.array([x and x.encode("utf-8", "replace").decode() for x in texts]))
+        for text, got, p in zip(texts, lang, score, strict=True):
+            found = plain_words((text or "").encode("utf-8", "replace").decode())
+            if not found:
+                assert got == "und" and p == 0
+                continue
+            logs = np.array([crf.weights[plain_features(w, set(crf.lexicon.tolist()))].sum(axis=0) for w in found])
+            mean = plain_forward_backward(np.exp(logs), np.exp(crf.transitions)).mean(axis=0)
+            assert got == crf.languages[mean.argmax()] and abs(p - mean.max()) < 1e-6
+
+
 def test_switched_words_are_labelled_by_their_run():
     texts = {0: [["the", "house", "with", "that"] * 8] * 20, 1: [["der", "haus", "mit", "das"] * 8] * 20}
     crf = langid.train(["en", "de"], langid.switched(texts), rounds=15)
-    p = crf.probabilities([["the", "house", "with", "mit", "das", "haus", "haus"]])[0]
+    p = crf.probabilities(langid.Words(["the house with mit das haus haus"]))
     assert p.argmax(axis=1).tolist() == [0, 0, 0, 1, 1, 1, 1] and crf.transitions[0, 0] > crf.transitions[0, 1]
 
 

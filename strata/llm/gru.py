@@ -17,13 +17,12 @@ from __future__ import annotations
 
 import copy
 import math
-from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from strata.llm.common import checkpointed, documents, map_batches
 
@@ -34,47 +33,115 @@ MOST_DOCS, MOST_TOKENS, STEPS = 3000, 200, 25
 #: Rounds that share out the training documents; sequences stepped together, and their rate; tokens held at once, and
 #: weights in a row of those that are averaged.
 ROUNDS, LANES, RATE, AT_ONCE, PIECE = 2, 512, 0.01, 1 << 21, 8192
-CACHED_WORDS = 300_000
-#: The end token's hash is that of no bytes, which no word has.
-END = int(np.uint64(xxh64_intdigest(b"")).astype(np.int64))
-
-
-def tokens(text: str) -> list[bytes]:
-    """Words, without the end."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def hashes(words) -> np.ndarray:
-    return np.array([xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
+#: States whose class logits are held at once, few enough for a processor's cache; bytes of words hashed at once, and
+#: tokens counted at once.
+ROWS, BYTES, COUNTED = 2048, 1 << 18, 1 << 21
+_SPACES = np.zeros(256, bool)
+_SPACES[[32, *range(9, 14)]] = True
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64."""
+    with np.errstate(over="ignore"):
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+@lru_cache(4)
+def _times(n: int) -> np.ndarray:
+    """A random odd factor of each of n places in a word."""
+    with np.errstate(over="ignore"):
+        return _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+#: The end token's hash; that of a word is it with a chance of 2^-64.
+END = int(_mixed(np.zeros(1, np.uint64) + np.uint64(5)).view(np.int64)[0])
+
+
+def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' 64-bit hashes, text after text, and how many each text has. A word's is the sum of its bytes, each
+    times a random odd number of its place, mixed: two words agree with a chance of 2^-57 at most."""
+    data = [x.encode("utf-8", "surrogatepass") for x in texts]
+    whole = np.frombuffer(b"\n".join([*data, b""]).lower(), np.uint8)
+    word = ~_SPACES.take(whole)
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    text = np.searchsorted(np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) + 1), starts, "right")
+    sums, a = np.empty(len(starts), np.uint64), 0
+    times = _times(1 << int(lengths.max(initial=1)).bit_length())
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + BYTES)))
+        cut = slice(int(starts[a]), int(starts[b - 1] + lengths[b - 1]))
+        mine, n = whole[cut][word[cut]].astype(np.uint64), lengths[a:b]
+        first = np.cumsum(n) - n
+        mine += np.uint64(1)
+        mine *= times.take(np.arange(len(mine)) - np.repeat(first, n))
+        sums[a:b] = np.add.reduceat(mine, first)
+        a = b
+    out = np.full(len(starts) + len(texts), END, np.int64)
+    out[np.arange(len(starts)) + text] = _mixed(sums + np.uint64(5)).view(np.int64)
+    return out, np.bincount(text, minlength=len(texts)) + 1
+
+
+def _parts(batch: pa.RecordBatch, most: int):
+    """The batch's texts in lists of about so many characters, one text at least."""
+    held, size = [], 0
+    for text in batch["text"]:
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def count(docs: DataFrame) -> DataFrame:
     """h, c: how often each token is in the documents (doc_id, text), by its hash."""
 
     def run(batches):
-        def rows(found):
-            return pa.RecordBatch.from_arrays([pa.array(hashes(found)), pa.array(np.fromiter(found.values(), np.int64, len(found)))], names=["h", "c"])
+        def rows():
+            found, where = np.unique(np.concatenate(held), return_inverse=True)
+            return found, np.bincount(where, np.concatenate(times)).astype(np.int64)
 
-        found: Counter = Counter()
+        held, times, size, most = [], [], 0, COUNTED
         for batch in batches:
-            for text in batch["text"]:
-                found.update(tokens(text.as_py() or ""))
-                if len(found) > 1_000_000:
-                    yield rows(found)
-                    found = Counter()
-            found[b""] += batch.num_rows
-        yield rows(found)
+            for texts in _parts(batch, 8 * BYTES):
+                found, n = np.unique(hashed(texts)[0], return_counts=True)
+                held.append(found)
+                times.append(n)
+                size += len(found)
+                if size > most:
+                    held, times = ([x] for x in rows())
+                    size = len(held[0])
+                    if 2 * size > most:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(times[0])], names=["h", "c"])
+                        held, times, size = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, rows())), names=["h", "c"])
 
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 0")
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=-1, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=-1)) + top[..., 0]
+#: Logits up to here need no shift before exp in single precision.
+SAFE = 60.0
+
+
+def _exp_logits(h: np.ndarray, w: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of h @ w up to a factor a row, the logits of the places held, and the sums of the rows, both up to the same
+    factor. States are within -1 and 1, so the weights bound the logits and mostly no row needs its maximum found."""
+    e = h @ w
+    if (np.abs(w[:-1]).sum(axis=0) + w[-1]).max() > SAFE:
+        e -= e.max(axis=1, keepdims=True)
+    mine = e.ravel().take(np.arange(0, e.size, e.shape[1]) + held)
+    np.exp(e, out=e)
+    return e, mine, e @ np.ones(e.shape[1], e.dtype)
 
 
 class Gru:
-    """Weights: x (words + 1, 3 state): what a word adds to the gates; u: what the state adds; classes and words."""
+    """Weights: x (words + 1, 3 state): what a word adds to the gates; u: what the state adds; c (state + 1, classes +
+    1) and w (classes, state + 1, words in a class): logits, the last row being the bias."""
 
     def __init__(self, counts: np.ndarray, tail: float, classes: int = CLASSES, size: int = CLASS_SIZE, state: int = STATE, seed: int = 11):
         """counts: of the words by falling frequency, as many as there are places; tail: of all others together."""
@@ -90,18 +157,26 @@ class Gru:
         self.p = {
             "x": rng.normal(0, 0.3, (self.n + 1, 3 * state)),
             "u": rng.normal(0, state**-0.5, (state, 3 * state)),
-            "cw": rng.normal(0, 0.1, (state, self.classes + 1)),
-            "cb": np.log(mass / mass.sum()),
-            "ww": rng.normal(0, 0.1, (self.classes, state, size)),
-            "wb": word_bias,
+            "c": np.append(rng.normal(0, 0.1, (state, self.classes + 1)), np.log(mass / mass.sum())[None], axis=0),
+            "w": np.append(rng.normal(0, 0.1, (self.classes, state, size)), word_bias[:, None], axis=1),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def step(self, ids: np.ndarray, h: np.ndarray):
         """New state after reading ids, and what backpropagation needs."""
-        n, g, hu = self.state, self.p["x"][ids], h @ self.p["u"]
-        zr = 0.5 + 0.5 * np.tanh(0.5 * (g[:, : 2 * n] + hu[:, : 2 * n]))
-        c = np.tanh(g[:, 2 * n :] + zr[:, n:] * hu[:, 2 * n :])
+        return self._step(self.p["x"].take(ids, axis=0), h)
+
+    def _step(self, g: np.ndarray, h: np.ndarray):
+        n = self.state
+        hu = h @ self.p["u"]
+        zr = g[:, : 2 * n] + hu[:, : 2 * n]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        c = zr[:, n:] * hu[:, 2 * n :]
+        c += g[:, 2 * n :]
+        np.tanh(c, out=c)
         return h + zr[:, :n] * (c - h), (h, hu, zr, c)
 
     def flat(self) -> np.ndarray:
@@ -114,19 +189,28 @@ class Gru:
             self.p[k] = weights[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
             at += self.p[k].size
 
+    def _by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class of each id, the order by class, and where each class begins there."""
+        group = np.where(ids == self.n, self.classes, ids // self.size)
+        order = np.argsort(group.astype(np.int16 if self.classes < 1 << 15 else np.int64), kind="stable")
+        return group, order, np.concatenate(([0], np.cumsum(np.bincount(group, minlength=self.classes + 1))))
+
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """ln P(class) P(word in class) of each id after each state; for the tail class P(class) alone."""
-        group = ids // self.size
-        group[ids == self.n] = self.classes
-        logits = h @ self.p["cw"] + self.p["cb"]
-        out = (logits[np.arange(len(ids)), group] - _log_sum(logits)).astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if len(rows):
-                logits = h[rows] @ self.p["ww"][k] + self.p["wb"][k]
-                out[rows] += logits[np.arange(len(rows)), ids[rows] - k * self.size] - _log_sum(logits)
+        h = np.append(h, np.ones((len(h), 1), h.dtype), axis=1)
+        group, order, cuts = self._by_class(ids)
+        out = np.empty(len(ids))
+        for a in range(0, len(ids), ROWS):
+            b = a + ROWS
+            _, mine, total = _exp_logits(h[a:b], self.p["c"], group[a:b])
+            out[a:b] = mine - np.log(total)
+        h, within = h.take(order, axis=0), (ids - group * self.size).take(order)
+        more = np.zeros(len(ids))
+        for k in np.flatnonzero(np.diff(cuts)[: self.classes]):
+            a, b = cuts[k], cuts[k + 1]
+            _, mine, total = _exp_logits(h[a:b], self.p["w"][k], within[a:b])
+            more[a:b] = mine - np.log(total)
+        out[order] += more
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -142,20 +226,24 @@ class Gru:
         before[1:] = ids[:-1]
         before[first[lengths > 0]] = 0  # a document begins after an end
         active = np.searchsorted(-lengths, -np.arange(most), "left")
-        h, t, total = np.zeros((active[0], self.state), np.float32), 0, np.zeros(len(ids))
+        # By step, so that each takes a contiguous run.
+        base = np.concatenate(([0], np.cumsum(active)))
+        nth = np.arange(len(ids)) - np.repeat(first, lengths)
+        place = base[nth] + np.repeat(np.arange(len(lengths)), lengths)
+        by_step, read, total = np.empty_like(ids), np.empty_like(ids), np.empty(len(ids))
+        by_step[place], read[place] = ids, before
+        h, t = np.zeros((active[0], self.state), np.float32), 0
         while t < most:
             until = min(most, t + max(8, min(256, 50_000 // int(active[t]))))
-            states, places = [], []
-            for s in range(t, until):
-                n = active[s]
-                at = first[:n] + s
-                h = self.step(before[at], h[:n])[0]
-                states.append(h)
-                places.append(at)
-            at = np.concatenate(places)
-            total[at] = self.log_probabilities(np.concatenate(states), ids[at])
+            a, b = base[t], base[until]
+            given, states, at = self.p["x"].take(read[a:b], axis=0), np.empty((b - a, self.state), np.float32), 0
+            for n in active[t:until].tolist():
+                h = self._step(given[at : at + n], h[:n])[0]
+                states[at : at + n] = h
+                at += n
+            total[a:b] = self.log_probabilities(states, by_step[a:b])
             t = until
-        out[order[lengths > 0]] = np.add.reduceat(total, first[lengths > 0])
+        out[order[lengths > 0]] = np.add.reduceat(total.take(place), first[lengths > 0])
         return out / np.log(10)
 
     def train(self, texts: list[np.ndarray], lanes: int = 64, rounds: int = 3, rate: float = 0.02) -> None:
@@ -179,101 +267,127 @@ class Gru:
             h = np.zeros((lanes, self.state), np.float32)
             for at in range(0, wide, STEPS):
                 cut = slice(at, min(wide, at + STEPS))
-                h, grads = self._window(in_ids[:, cut], out_ids[:, cut], new[:, cut], h, real[:, cut])
+                h, grads, words = self._window(in_ids[:, cut], out_ids[:, cut], new[:, cut], h, real[:, cut])
                 t += 1
                 for k, g in grads.items():
                     # Of the words, only those that were read move.
-                    at_ = np.unique(in_ids[:, cut]) if k == "x" else slice(None)
-                    m, v, g = moment[k][0][at_], moment[k][1][at_], g[at_]
-                    m = m + 0.1 * (g - m)
-                    v = v + 0.01 * (g * g - v)
-                    moment[k][0][at_], moment[k][1][at_] = m, v
-                    self.p[k][at_] -= rate * (1 - 0.9 * t / last) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+                    some = (lambda x, k=k: x.take(words, axis=0) if k == "x" else x)
+                    m, v = some(moment[k][0]), some(moment[k][1])
+                    m *= 0.9
+                    m += 0.1 * g
+                    v *= 0.99
+                    g *= g
+                    v += 0.01 * g
+                    move = np.sqrt(v)
+                    move *= 1 / np.sqrt(1 - 0.99**t)
+                    move += 1e-6
+                    np.divide(m, move, out=move)
+                    move *= rate * (1 - 0.9 * t / last) / (1 - 0.9**t)
+                    if k == "x":
+                        moment[k][0][words], moment[k][1][words] = m, v
+                        self.p[k][words] -= move
+                    else:
+                        self.p[k] -= move
 
     def _window(self, in_ids, out_ids, new, h, real=None):
-        """Last state and gradients of the mean loss of one window, over the places that are real."""
+        """Last state, gradients of the mean loss of one window over the places that are real (of x: for the words
+        that were read), and these words."""
         p, n = self.p, self.state
         lanes, steps = in_ids.shape
-        kept, states = [], []
+        kind = p["x"].dtype
+        keep = (~new).T.astype(kind)[:, :, None]
+        read, hs = in_ids.T.ravel(), np.ones((steps, lanes, n + 1), kind)
+        given, kept = p["x"].take(read, axis=0).reshape(steps, lanes, 3 * n), []
         for s in range(steps):
-            h = h * ~new[:, s, None]
-            h, more = self.step(in_ids[:, s], h)
+            h, more = self._step(given[s], h * keep[s])
             kept.append(more)
-            states.append(h)
-        hs, ids = np.concatenate(states), out_ids.T.ravel()
-        group = np.where(ids == self.n, self.classes, ids // self.size)
-        rows = np.arange(len(ids))
-        counts = np.ones(len(ids), np.float32) if real is None else real.T.ravel().astype(np.float32)
-        scale = (counts / max(1.0, float(counts.sum())))[:, None]
-
-        def errors(h, w, b, held, scale):
-            """Scaled softmax of h @ w + b less what was held, in place: passes over it are most of the time."""
-            e = h @ w
-            e += b
-            e -= e.max(axis=1, keepdims=True)
-            np.exp(e, out=e)
-            e *= scale / e.sum(axis=1, keepdims=True)
-            e[rows[: len(e)], held] -= scale[:, 0]
+            hs[s, :, :n] = h
+        hs, ids = hs.reshape(-1, n + 1), out_ids.T.ravel()
+        group, order, cuts = self._by_class(ids)
+        counts = np.ones(len(ids), kind) if real is None else real.T.ravel().astype(kind)
+        scale = counts / kind.type(max(1.0, float(counts.sum())))
+
+        def errors(h, w, held, scale):
+            """Scaled softmax of h @ w less what was held."""
+            e, _, total = _exp_logits(h, w, held)
+            e *= (scale / total)[:, None]
+            e.reshape(-1)[np.arange(0, e.size, e.shape[1]) + held] -= scale
             return e
 
-        e = errors(hs, p["cw"], p["cb"], group, scale)
-        grads = {"cw": hs.T @ e, "cb": e.sum(axis=0), "ww": np.zeros_like(p["ww"]), "wb": np.zeros_like(p["wb"])}
-        dh = e @ p["cw"].T
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[k] : cuts[k + 1]]
-            e = errors(some := hs[at], p["ww"][k], p["wb"][k], ids[at] - k * self.size, scale[at])
-            grads["ww"][k], grads["wb"][k] = some.T @ e, e.sum(axis=0)
-            dh[at] += e @ p["ww"][k].T
-        dh, grads["u"], gates = dh.reshape(steps, lanes, n), np.zeros_like(p["u"]), np.empty((steps, lanes, 3 * n), np.float32)
-        back = np.zeros((lanes, n), np.float32)
+        grads = {"c": np.zeros_like(p["c"]), "w": np.zeros_like(p["w"])}
+        dh, turned = np.empty((len(ids), n), kind), np.ascontiguousarray(p["c"][:n].T)
+        for a in range(0, len(ids), ROWS):
+            b = a + ROWS
+            e = errors(hs[a:b], p["c"], group[a:b], scale[a:b])
+            grads["c"] += hs[a:b].T @ e
+            dh[a:b] = e @ turned
+        by_class, within, scale = hs.take(order, axis=0), (ids - group * self.size).take(order), scale.take(order)
+        more = np.zeros((len(ids), n), kind)
+        for k in np.flatnonzero(np.diff(cuts)[: self.classes]):
+            a, b = cuts[k], cuts[k + 1]
+            e = errors(by_class[a:b], p["w"][k], within[a:b], scale[a:b])
+            grads["w"][k] = by_class[a:b].T @ e
+            more[a:b] = e @ p["w"][k, :n].T
+        back_to = np.empty_like(order)
+        back_to[order] = np.arange(len(order))
+        dh += more.take(back_to, axis=0)
+        dh, gates, into = dh.reshape(steps, lanes, n), np.empty((steps, lanes, 3 * n), kind), np.empty((steps, lanes, 3 * n), kind)
+        back, turned = np.zeros((lanes, n), kind), np.ascontiguousarray(p["u"].T)
         for s in range(steps - 1, -1, -1):
             prev, hu, zr, c = kept[s]
-            z, r = zr[:, :n], zr[:, n:]
+            z, r, g = zr[:, :n], zr[:, n:], gates[s]
             d = dh[s] + back
-            dc = d * z * (1 - c * c)
-            dz, dr = d * (c - prev) * z * (1 - z), dc * hu[:, 2 * n :] * r * (1 - r)
-            da = np.concatenate([dz, dr, dc * r], axis=1)
-            gates[s] = np.concatenate([dz, dr, dc], axis=1)
-            grads["u"] += prev.T @ da
-            back = (d * (1 - z) + da @ p["u"].T) * ~new[:, s, None]
-        flat = in_ids.T.ravel()
-        order = np.argsort(flat, kind="stable")
-        read, first = np.unique(flat[order], return_index=True)
-        grads["x"] = np.zeros_like(p["x"])
-        grads["x"][read] = np.add.reduceat(gates.reshape(-1, 3 * n)[order], first)
-        return h, {k: np.clip(g, -1, 1) for k, g in grads.items()}
+            dz = d * z
+            np.multiply(dz, 1 - c * c, out=g[:, 2 * n :])
+            np.multiply(dz * (1 - z), c - prev, out=g[:, :n])
+            np.multiply(g[:, 2 * n :] * hu[:, 2 * n :], r * (1 - r), out=g[:, n : 2 * n])
+            into[s] = g
+            into[s, :, 2 * n :] *= r
+            back = (d - dz + into[s] @ turned) * keep[s]
+        grads["u"] = np.concatenate([x[0] for x in kept]).T @ into.reshape(-1, 3 * n)
+        order = np.argsort(read.astype(np.int32), kind="stable")
+        read = read.take(order)
+        first = np.flatnonzero(np.diff(read, prepend=-1))
+        grads["x"] = np.add.reduceat(gates.reshape(-1, 3 * n).take(order, axis=0), first, axis=0)
+        for g in grads.values():
+            np.clip(g, -1, 1, out=g)
+        return h, grads, read[first]
 
 
 class Scorer:
-    """The model and the frequent words' counts, with a store of words met."""
+    """The model and the frequent words' counts, with a hash table of them."""
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray, places: np.ndarray, model: Gru):
-        """frequent: sorted hashes; counts: of each; places: each one's id in the model (model.n: tail)."""
+        """frequent: hashes; counts: of each; places: each one's id in the model (model.n: tail)."""
         self.frequent, self.counts, self.places, self.model = frequent, counts, places, model
-        self.cache: dict[bytes, int] = {}
-
-    def __getstate__(self):
-        return self.frequent, self.counts, self.places, self.model
-
-    def __setstate__(self, state):
-        self.__init__(*state)
+        self.table, left = np.full(4 << max(1, len(frequent)).bit_length(), -1, np.int32), np.arange(len(frequent))
+        for i in range(len(self.table)):
+            at = (frequent[left] + i) & (len(self.table) - 1)
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]  # the last one of those with one place gets it
+            left = left[self.table[at] != left]
+            if not len(left):
+                break
+
+    def codes(self, found: np.ndarray) -> np.ndarray:
+        """For each hash its number among the frequent ones, or else -1."""
+        at = found & (len(self.table) - 1)
+        out = self.table.take(at)
+        left = np.flatnonzero((out >= 0) & (self.frequent.take(out, mode="clip") != found))
+        while len(left):
+            at[left] = at[left] + 1 & (len(self.table) - 1)
+            out[left] = self.table.take(at[left])
+            left = left[(out[left] >= 0) & (self.frequent.take(out[left], mode="clip") != found[left])]
+        return out
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        """For each word its number among the frequent ones, or else its hash, which is none of these numbers."""
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        new = list({w for w in words if w not in self.cache})
-        found = hashes(new)
-        at = np.minimum(np.searchsorted(self.frequent, found), len(self.frequent) - 1)
-        self.cache.update(zip(new, np.where(self.frequent[at] == found, at, found).tolist(), strict=True))
-        return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        """Ids in the model."""
+        return np.where(codes >= 0, self.places.take(codes, mode="clip"), self.model.n).astype(np.int32)
 
-    def ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids in the model, and which words are frequent."""
-        known = (codes >= 0) & (codes < len(self.frequent))
-        return np.where(known, self.places[np.where(known, codes, 0)], self.model.n), known
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text's tokens."""
+        found, n = hashed(texts)
+        return np.split(self.ids(self.codes(found)), np.cumsum(n)[:-1])
 
 
 def _learned(train: DataFrame, scorer: Scorer) -> np.ndarray:
@@ -283,11 +397,11 @@ def _learned(train: DataFrame, scorer: Scorer) -> np.ndarray:
 
     def run(batches):
         s = shared.value
-        model, end, seen, held, size = copy.deepcopy(s.model), np.searchsorted(s.frequent, END), 0, [], 0
+        model, seen, held, size = copy.deepcopy(s.model), 0, [], 0
         for batch in batches:
-            for text in batch["text"]:
-                held.append(s.ids(np.append(s.codes(tokens(text.as_py() or "")), end))[0].astype(np.int32))
-                size += len(held[-1])
+            for texts in _parts(batch, 8 * BYTES):
+                held += s.texts(texts)
+                size = sum(map(len, held))
                 if size >= AT_ONCE:
                     model.train(held, LANES, 1, RATE)
                     seen, held, size = seen + size, [], 0
@@ -321,9 +435,7 @@ def fit(train: DataFrame, most_frequent: int = MOST_FREQUENT, most_docs: int = M
     # The words in classes grow with the root of the corpus, classes and their sizes with its fourth root.
     held = min(len(frequent), max(CLASSES * CLASS_SIZE, math.isqrt(n)))
     model = Gru(c[:held].astype(float), float(n - c[:held].sum()), size=max(CLASS_SIZE, math.ceil(held**0.5)))
-    order = np.argsort(frequent)
-    places = np.minimum(np.arange(len(frequent)), held)[order]
-    scorer = Scorer(frequent[order], c[order].astype(np.int64), places, model)
+    scorer = Scorer(frequent, c.astype(np.int64), np.minimum(np.arange(len(frequent)), held), model)
     docs = int(c[0])
     if docs:
         shared = train.sparkSession.sparkContext.broadcast(scorer)
@@ -331,9 +443,9 @@ def fit(train: DataFrame, most_frequent: int = MOST_FREQUENT, most_docs: int = M
         def sampled(batch: pa.RecordBatch) -> dict:
             cut = []
             for text, key in zip(batch["text"].to_pylist(), batch["key"].to_pylist(), strict=True):
-                codes = np.append(shared.value.codes(tokens(text or "")), np.searchsorted(shared.value.frequent, END))
-                at = key // 7 % max(1, len(codes) - MOST_TOKENS + 1)
-                cut.append(shared.value.ids(codes[at : at + MOST_TOKENS])[0].tolist())
+                ids = shared.value.texts([text or ""])[0]
+                at = key // 7 % max(1, len(ids) - MOST_TOKENS + 1)
+                cut.append(ids[at : at + MOST_TOKENS].tolist())
             return {"key": batch["key"], "ids": cut}
 
         picked = train.withColumn("key", F.xxhash64("doc_id", "text")).where(F.pmod("key", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * most_docs / docs)))
@@ -358,15 +470,20 @@ def scores(docs: DataFrame, fitted: tuple[Scorer, DataFrame, dict], id_col: str
 
     def run(batch: pa.RecordBatch) -> dict:
         s = shared.value
-        logs, ends, ids, out = np.log10(s.counts + 1.0), np.searchsorted(s.frequent, END), [], {k: [] for k in ("n_tokens", "n_known", "base", "tail", "n_tail", "rare")}
-        for text in batch["text"]:
-            codes = np.append(s.codes(tokens(text.as_py() or "")), ends)
-            mine, known = s.ids(codes)
-            got, tail = codes[known], mine == s.model.n
-            ids.append(mine.astype(np.int32))
-            row = (len(codes), int((s.counts[got] > 0).sum()), logs[got].sum(), logs[codes[known & tail]].sum(), int(tail.sum()), codes[~known])
+        logs, ids, out = np.log10(s.counts + 1.0), [], {k: [] for k in ("n_tokens", "n_known", "base", "tail", "n_tail", "rare")}
+        for texts in _parts(batch, 8 * BYTES):
+            found, n = hashed(texts)
+            codes = s.codes(found)
+            mine, known = s.ids(codes), codes >= 0
+            ends = np.cumsum(n)
+            ids += np.split(mine, ends[:-1])
+            tail, each = mine == s.model.n, np.where(known, logs.take(codes, mode="clip"), 0.0)
+            sums = lambda x, at=ends - n: np.add.reduceat(x, at)
+            rare = np.split(found[~known], np.cumsum(sums((~known).astype(np.int64)))[:-1])
+            there = known & (s.counts.take(codes, mode="clip") > 0)
+            row = (n, sums(there.astype(np.int64)), sums(each), sums(each * tail), sums(tail.astype(np.int64)), rare)
             for k, v in zip(out, row, strict=True):
-                out[k].append(v)
+                out[k] += list(v)
         return {"doc_id": batch["doc_id"], "lm": s.model.score(ids)} | out
 
     rows = map_batches(documents(docs, id_col, text_col), run, "doc_id long, n_tokens long, n_known long, base double, tail double, n_tail long, rare array<long>, lm double")

@@ -1,6 +1,7 @@
 """Mixing sources to target weights.
 
-Words of a source, documents one after the other, are packed into blocks of a fixed length. The mix is a number of
+Words of a source, documents one after the other, are packed into blocks of a fixed length, shorter ones in a source
+of few words, so that whole blocks come near any target. The mix is a number of
 output shards; each draws how many of its slots every source fills from a multinomial over what the sources have
 still to give. A source's slots are numbered through all shards; slot i is block perm(i mod n) of the source's n
 blocks, where every pass over the source has a pseudorandom permutation of its own (swap-or-not, computed for one
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import SPACE, WORD
 
-#: Rows of a source whose sizes are summed in one window; sums of windows are summed in a second step.
-CHUNK_ROWS = 512
+#: Rows of a source whose sizes are summed in one window, and windows whose sums are summed in the next step's; blocks
+#: of a source at least; slots that are numbered at once.
+CHUNK_ROWS, CHUNKS, LEAST_BLOCKS, SLOTS = 512, 4096, 64, 1 << 16
 ROUNDS = 16
 
 
@@ -76,9 +78,9 @@ def mix(
     most: int = 3,
     seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
-    """(slots, pieces). slots: shard, slot, sidx, block. pieces: row, doc_id, size, sidx, source, source_size,
+    """(slots, pieces). slots: shard, slot, sidx, block. pieces: __row, doc_id, size, sidx, source, source_size,
     target, block, start, n: words start to start + n of a row's text lie in that block; a row without words has
-    one piece with a null block.
+    one piece with a null block. A source's blocks have ``block`` words, or a 64th of its words if that is less.
 
     Null texts have no words; a null source is a source of its own. The driver holds one row of sums for each source
     and shards x sources counts. Rows are placed by a hash of doc_id and size, ordered by both, so reruns agree
@@ -86,7 +88,7 @@ def mix(
     """
     spark = docs.sparkSession
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        F.monotonically_increasing_id().alias("__row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -94,25 +96,29 @@ def mix(
     sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets({r["source"]: r["size"] for r in sums}, weights, most)
-    blocks = [-(-r["size"] // block) for r in sums]
+    lengths = [max(1, min(block, r["size"] // LEAST_BLOCKS)) for r in sums]
+    blocks = [-(-r["size"] // n) for r, n in zip(sums, lengths, strict=True)]
     quota = [round(goal[r["source"]] * n / r["size"]) if n else 0 for r, n in zip(sums, blocks, strict=True)]
     stats = spark.createDataFrame(
-        [(i, r["source"], r["size"], float(goal[r["source"]]), -(-r["n"] // CHUNK_ROWS)) for i, r in enumerate(sums)],
-        "sidx int, source string, source_size long, target double, chunks long",
+        [(i, r["source"], r["size"], float(goal[r["source"]]), -(-r["n"] // CHUNK_ROWS), lengths[i]) for i, r in enumerate(sums)],
+        "sidx int, source string, source_size long, target double, chunks long, words long",
     )
     keyed = rows.withColumnRenamed("source", "own").join(F.broadcast(stats), F.col("own").eqNullSafe(F.col("source"))).drop("own")
     keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.col("chunks")))
-    chunk = keyed.groupBy("sidx", "chunk").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("sidx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunk.select("sidx", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("sidx", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # Offsets of the chunks: within runs of chunks, and of the runs.
+    chunk = keyed.groupBy("sidx", "chunk").agg(F.sum("size").alias("sum")).withColumn("run", F.expr(f"chunk div {CHUNKS}"))
+    summed = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    run = chunk.groupBy("sidx", "run").agg(F.sum("sum").alias("sum"))
+    run = run.select("sidx", "run", F.coalesce(F.sum("sum").over(summed("sidx").orderBy("run")), F.lit(0)).alias("run_offset"))
+    offsets = chunk.withColumn("offset", F.coalesce(F.sum("sum").over(summed("sidx", "run").orderBy("chunk")), F.lit(0))).join(run, ["sidx", "run"])
+    offsets = offsets.select("sidx", "chunk", (F.col("offset") + F.col("run_offset")).alias("offset"))
+    inside = summed("sidx", "chunk").orderBy("doc_id", "size")
     placed = keyed.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["sidx", "chunk"]).withColumn("at", F.col("at") + F.col("offset"))
-    b = F.lit(block).cast("long")
-    spans = F.when(F.col("size") > 0, F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}")))
-    start = F.greatest(F.col("block") * b - F.col("at"), F.lit(0).cast("long"))
+    spans = F.when(F.col("size") > 0, F.expr("sequence(at div words, (at + size - 1) div words)"))
+    start = F.greatest(F.col("block") * F.col("words") - F.col("at"), F.lit(0).cast("long"))
     pieces = placed.withColumn("block", F.explode_outer(spans)).select(
-        "row", "doc_id", "size", "sidx", "source", "source_size", "target", "block", start.alias("start"),
-        (F.least((F.col("block") + 1) * b - F.col("at"), F.col("size")) - start).alias("n"),
+        "__row", "doc_id", "size", "sidx", "source", "source_size", "target", "block", start.alias("start"),
+        (F.least((F.col("block") + 1) * F.col("words") - F.col("at"), F.col("size")) - start).alias("n"),
     )
 
     counts = draw(quota, shards, seed)
@@ -121,7 +127,9 @@ def mix(
         [(g, i, int(first[g, i]), int(counts[g, i]), blocks[i]) for g in range(shards) for i in range(len(sums)) if counts[g, i]],
         "shard int, sidx int, first long, count long, blocks long",
     )
-    index = drawn.repartition(min(shards, 4096), "shard", "sidx").withColumn("at", F.explode(F.expr("sequence(first, first + count - 1)")))
+    parts = drawn.withColumn("part", F.explode(F.expr(f"sequence(0, (count - 1) div {SLOTS})")))
+    parts = parts.repartition(min(4096, max(shards, int(first[-1].sum() + counts[-1].sum()) // (4 * SLOTS)) if len(sums) else 1), "shard", "sidx", "part")
+    index = parts.withColumn("at", F.explode(F.expr(f"sequence(first + part * {SLOTS}, first + least(count, (part + 1) * {SLOTS}) - 1)")))
     salt = F.xxhash64(F.lit(seed), F.col("sidx"), F.expr("at div blocks"))
     slots = index.select("shard", F.col("at").alias("slot"), "sidx", _permuted(F.pmod(F.col("at"), F.col("blocks")), F.col("blocks"), salt).alias("block"))
     return slots, pieces
@@ -135,16 +143,16 @@ def _uses(slots: DataFrame) -> DataFrame:
 
 def joined(slots: DataFrame, pieces: DataFrame) -> DataFrame:
     """The mix itself: for each shard and slot the pieces of the block that fills it."""
-    return slots.hint("merge").join(pieces.where("block is not null"), ["sidx", "block"]).select("shard", "slot", "source", "block", "row", "doc_id", "start", "n")
+    return slots.hint("merge").join(pieces.where("block is not null"), ["sidx", "block"]).select("shard", "slot", "source", "block", "__row", "doc_id", "start", "n")
 
 
 def taken(slots: DataFrame, pieces: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) of every row, from blocks joined by index."""
     return (
         pieces.join(_uses(slots), ["sidx", "block"], "left")
-        .groupBy("row", "doc_id", "size", "source_size", "target")
+        .groupBy("__row", "doc_id", "size", "source_size", "target")
         .agg(F.sum(F.coalesce(F.col("n") * F.col("uses"), F.lit(0))).alias("taken"))
-        .drop("row")
+        .drop("__row")
     )
 
 
@@ -153,8 +161,8 @@ def mixed(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_ch
     are used c times or more. A copy with all words keeps the text as it is; others join their words by spaces.
     Rows of which the mix takes no word go (so do texts without words)."""
     slots, pieces = mix(docs, text_col=text_col, **options)
-    runs = pieces.join(_uses(slots), ["sidx", "block"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "n", "uses"))).alias("__runs"), F.max("uses").alias("__uses"))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(runs, F.col("__row") == F.col("row")).drop("row", "__row")
+    runs = pieces.join(_uses(slots), ["sidx", "block"]).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "n", "uses"))).alias("__runs"), F.max("uses").alias("__uses"))
+    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(runs, "__row").drop("__row")
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__uses"))))
     rows = rows.withColumn("__runs", F.filter("__runs", lambda r: r["uses"] >= F.col("__copy")))
     words = F.split(F.regexp_replace(F.col(text_col), rf"^{SPACE}+|{SPACE}+$", ""), rf"{SPACE}+")

@@ -132,8 +132,9 @@ def _links(buckets: DataFrame, checks: dict[int, list[tuple[int, int]]]) -> Data
 
 
 def links(nodes: DataFrame, most: int = 2, segments: int = 5, crowded: int = CROWDED) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that differ in at most ``most`` bits; a forest of them
-    within each key, so that components are whole."""
+    """a, b: distinct fingerprints (column fp) that are linked by steps of at most ``most`` bits. Within each key a
+    spanning forest is given, each fingerprint with the least it reaches there, so that components are whole; the two
+    of a row may differ in more bits."""
     masks, _, checks = ring(segments, most)
     budgets = {_signed(m): c for m, c in zip(masks, checks, strict=True)}
     rows = nodes.select(F.explode(F.array([F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"), "fp") for m in budgets])).alias("x")).select("x.*")
@@ -179,12 +180,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component, as it is: that of the least doc_id, and of its texts the one of least hash. A
-    component with null ids only keeps one of them. Texts are shuffled once."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    keep = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__h"))
-    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = rows.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
-    return kept.dropDuplicates([id_col, "__hash"]).select(*docs.columns)
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2, words: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each group, as it is: that of the least doc_id, and of its texts the one of least hash.
+
+    Texts whose fingerprints of five-word shingles are linked are candidates, each with one text of its component;
+    so are texts that share a MinHash band, since a similarity of 0.8 is some ten bits of a fingerprint, for which no
+    key of a ring is selective. The exact Jaccard similarity of the shingle sets decides; groups are components of
+    pairs of ``least`` or more. Null and empty texts count as the same text; a group with null ids only keeps one of
+    them; repeated rows are one; other columns stay, whatever their names; an empty table gives no rows.
+    """
+    from strata.llm import jaccard
+
+    found = near_duplicates(docs, id_col, text_col, most, words).select("text_hash", "root").distinct()
+    heads = found.groupBy("root").agg(F.min("text_hash").alias("other"))
+    return jaccard.deduplicated(docs, found.join(heads, "root").where("text_hash <> other").select("text_hash", "other"), id_col, text_col, least)

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from strata.llm.common import documents, map_batches
 
 SLOTS, SIZES = 1 << 20, (3, 4, 5, 6)
-#: Rows of each label that the model is fitted on at most, chosen by a hash, and features that it keeps.
-MOST_ROWS, MOST_FEATURES = {1: 8000, 0: 16000}, 8192
+#: Rows of each label that the model is fitted on at most, chosen by a hash. A feature counts if the likelihood ratio of
+#: its counts says more than EVIDENCE, which by chance some 60 of all slots would.
+MOST_ROWS, EVIDENCE = {1: 8000, 0: 16000}, 8.0
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 #: Characters that are hashed at once.
 _CHUNK = 1 << 18
@@ -47,8 +48,10 @@ def _held(text: str, table: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: dict[int, int]) -> DataFrame:
-    """toxic, text of the labelled documents to fit on; the list of their ids is bounded by the sum of most."""
-    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    """toxic, text of the labelled documents to fit on; the list of their ids is bounded by the sum of most. Only ids
+    that are in docs take up places."""
+    one = labels.where("doc_id is not null and toxic is not null").join(docs.select("doc_id"), "doc_id", "left_semi")
+    one = one.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = None
     for label, n in most.items():
         part = one.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -56,7 +59,7 @@ def _sample(docs: DataFrame, labels: DataFrame, most: dict[int, int]) -> DataFra
     return docs.join(F.broadcast(picked), "doc_id")
 
 
-def _fit(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, strength: float = 0.3, rounds: int = 300) -> tuple[np.ndarray, float]:
+def _fit(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, strength: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on the ratios of each row's features, listed row by row in at, by Adam over whole passes."""
     width = len(ratio)
     ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
@@ -82,7 +85,7 @@ def _fit(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, st
 
 def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None) -> tuple[np.ndarray, float]:
     """(weight x ratio by slot, bias). docs: doc_id, text; labels: doc_id, toxic. Without both labels: zeros and the
-    log odds that there are. The driver holds counts of SLOTS slots and the kept features of the sampled rows."""
+    log odds that there are. The driver holds counts of SLOTS slots and, of the sampled rows, every feature that counts."""
     most = most or MOST_ROWS
     sample = _sample(docs, labels, most)
 
@@ -116,9 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None)
     both = (counts.sum(0) + 0.5) / (rows.sum() + 1)
     tells = sum(counts[i] * np.log(share[i] / both) + (rows[i] - counts[i]) * np.log((1 - share[i] + 1e-9) / (1 - both + 1e-9)) for i in (0, 1))
     tells[counts.sum(0) < 3] = 0
-    kept = np.sort(np.argsort(-tells, kind="stable")[:MOST_FEATURES])
-    kept = kept[tells[kept] > 4]
-    place = np.full(SLOTS, -1, np.int16)
+    kept = np.flatnonzero(tells > EVIDENCE)
+    place = np.full(SLOTS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     shared = docs.sparkSession.sparkContext.broadcast(place)
 
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None)
         kept_slots = shared.value >= 0
         return {"toxic": batch["toxic"], "held": [shared.value[_held(x or "", kept_slots)].tolist() for x in batch["text"].to_pylist()]}
 
-    got = map_batches(sample, features, "toxic int, held array<short>").orderBy(F.xxhash64("held")).limit(sum(most.values())).toArrow()
+    got = map_batches(sample, features, "toxic int, held array<int>").orderBy(F.xxhash64("held")).limit(sum(most.values())).toArrow()
     held = got["held"].combine_chunks()
     w, b = _fit(held.flatten().to_numpy(), np.asarray(held.value_lengths()), got["toxic"].to_numpy().astype(np.float64), ratio[kept].astype(np.float64))
     out = np.zeros(SLOTS, np.float32)

@@ -56,6 +56,34 @@ def test_every_telling_feature_is_kept(spark):
     assert np.count_nonzero(weights) > 4000
 
 
+def test_ids_without_a_document_take_no_place(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), F.pmod("id", F.lit(2)).alias("toxic"))
+    assert toxicity._sample(docs, labels, {1: 25, 0: 25}).count() == 50
+
+
+def test_scores_against_a_plain_version(spark):
+    """Every n-gram that a text holds adds its weight once."""
+    rng = np.random.default_rng(3)
+    weights = rng.normal(0, 0.05, toxicity.SLOTS).astype(np.float32)
+    texts = ["", None, "abc", "AbC abc", "é😀 \n x" * 50, "a" * 5000]
+
+    def slot(gram):
+        rolled = 0
+        for n, c in enumerate(gram, 1):
+            rolled = (rolled * 0x100000001B3 + (ord(c) + n) * 0x9E3779B97F4A7C15) % 2**64
+        return (rolled * 0x9E3779B97F4A7C15) % 2**64 >> 44
+
+    want = {}
+    for i, t in enumerate(texts):
+        padded = f" {(t or '').lower()} "
+        held = {slot(padded[a : a + n]) for n in toxicity.SIZES for a in range(len(padded) - n + 1)}
+        want[i] = 1 / (1 + math.exp(-(0.3 + sum(float(weights[x]) for x in held))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = toxicity.score(docs, (weights, 0.3)).collect()
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-4 and r["predicted"] == int(r["score"] >= 0.3) for r in found) and len(found) == len(texts)
+
+
 def test_the_fit_does_not_depend_on_how_much_it_takes_at_once(monkeypatch):
     rng = np.random.default_rng(9)
     sizes = rng.integers(0, 9, 50)

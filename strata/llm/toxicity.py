@@ -49,38 +49,61 @@ def _held(text: str, table: np.ndarray) -> np.ndarray:
 
 def _sample(docs: DataFrame, labels: DataFrame, most: dict[int, int]) -> DataFrame:
     """toxic, text of the labelled documents to fit on; the list of their ids is bounded by the sum of most. Only ids
-    that are in docs take up places."""
+    that are in docs take up places, and of rows with one id the least text counts."""
     one = labels.where("doc_id is not null and toxic is not null").join(docs.select("doc_id"), "doc_id", "left_semi")
     one = one.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = None
     for label, n in most.items():
         part = one.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    return docs.join(F.broadcast(picked), "doc_id")
-
-
-def _fit(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, strength: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on the ratios of each row's features, listed row by row in at, by Adam over whole passes."""
-    width = len(ratio)
-    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], _AT_ONCE)), len(sizes)))
-    parts = [(i, j, at[ends[i] : ends[j]], sizes[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    w, b = np.zeros(width), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        each, g, gb = w * ratio, np.zeros(width), 0.0
+    return docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
+
+
+def _fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ratio: np.ndarray, strength: float = 1.0, rounds: int = 60, kept: int = 8) -> tuple[np.ndarray, float]:
+    """Logistic regression on the ratios of each row's features, by limited-memory BFGS. rows: in parts, the rows'
+    features one after the other, and how many each row has."""
+    parts, first = [], 0
+    for at, sizes in rows:
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], _AT_ONCE)), (0, len(sizes))))
+        parts += [(first + i, first + j, at[ends[i] : ends[j]], sizes[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        first += len(sizes)
+
+    def loss(x):
+        w, total, g = x[:-1] * ratio, strength / 2 * float(x[:-1] @ x[:-1]), np.zeros(len(x))
         for i, j, some, n in parts:
             row = np.repeat(np.arange(j - i), n)
-            e = 1 / (1 + np.exp(-np.clip(np.bincount(row, each[some], j - i) + b, -30, 30))) - y[i:j]
-            g += np.bincount(some, e[row], width)
-            gb += e.sum()
-        g = g * ratio + strength * w
-        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        c, d = 1 - 0.9**t, 1 - 0.99**t
-        rate = 0.1 * min(1, 2 * (rounds - t) / rounds)
-        w -= rate * (m / c) / (np.sqrt(v / d) + 1e-8)
-        b -= rate * (mb / c) / (np.sqrt(vb / d) + 1e-8)
-    return w, float(b)
+            z = np.bincount(row, w[some], j - i) + x[-1]
+            e = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[i:j]
+            total += float((np.logaddexp(0, z) - y[i:j] * z).sum())
+            g[:-1] += np.bincount(some, e[row], len(ratio))
+            g[-1] += e.sum()
+        g[:-1] = g[:-1] * ratio + strength * x[:-1]
+        return total, g
+
+    x = np.append(np.zeros(len(ratio)), np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    value, g = loss(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() < 1e-6 * len(y):
+            break
+        d, alphas = -g, []
+        for s, t in reversed(pairs):
+            alphas.append(float(s @ d) / float(s @ t))
+            d -= alphas[-1] * t
+        d *= float(pairs[-1][0] @ pairs[-1][1]) / float(pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, float(np.abs(g).max()))
+        for (s, t), alpha in zip(pairs, reversed(alphas), strict=True):
+            d += (alpha - float(t @ d) / float(s @ t)) * s
+        step, slope = 1.0, float(g @ d)
+        while (found := loss(x + step * d))[0] > value + 1e-4 * step * slope and step > 1e-6:
+            step /= 2
+        if step <= 1e-6:
+            break
+        s, t = step * d, found[1] - g
+        x, (value, g) = x + s, found
+        if float(s @ t) > 1e-12:
+            pairs = [*pairs, (s, t)][-kept:]
+    return x[:-1], float(x[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None) -> tuple[np.ndarray, float]:
@@ -120,17 +143,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None)
     tells = sum(counts[i] * np.log(share[i] / both) + (rows[i] - counts[i]) * np.log((1 - share[i] + 1e-9) / (1 - both + 1e-9)) for i in (0, 1))
     tells[counts.sum(0) < 3] = 0
     kept = np.flatnonzero(tells > EVIDENCE)
-    place = np.full(SLOTS, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    shared = docs.sparkSession.sparkContext.broadcast(place)
+    # Numbers of features, as short as they can be: the list of all rows' features is what the driver holds.
+    kind, base = (np.int16, 1 << 15) if len(kept) < 1 << 16 else (np.int32, 0)
+    place, is_kept = np.zeros(SLOTS, kind), np.zeros(SLOTS, bool)
+    place[kept], is_kept[kept] = np.arange(len(kept)) - base, True
+    shared = docs.sparkSession.sparkContext.broadcast((place, is_kept))
 
     def features(batch: pa.RecordBatch) -> dict:
-        kept_slots = shared.value >= 0
-        return {"toxic": batch["toxic"], "held": [shared.value[_held(x or "", kept_slots)].tolist() for x in batch["text"].to_pylist()]}
-
-    got = map_batches(sample, features, "toxic int, held array<int>").orderBy(F.xxhash64("held")).limit(sum(most.values())).toArrow()
-    held = got["held"].combine_chunks()
-    w, b = _fit(held.flatten().to_numpy(), np.asarray(held.value_lengths()), got["toxic"].to_numpy().astype(np.float64), ratio[kept].astype(np.float64))
+        numbers, some = shared.value
+        return {"toxic": batch["toxic"], "held": [numbers[_held(x or "", some)] for x in batch["text"].to_pylist()]}
+
+    got = map_batches(sample, features, f"toxic int, held array<{'int' if kind == np.int32 else 'short'}>").orderBy(F.xxhash64("held"), "toxic").toArrow()
+    # Views of what came, whose first number, -base, is the sign bit's.
+    listed = [x.flatten().to_numpy() for x in got["held"].chunks]
+    listed = [x if not base else x.view(np.uint16) ^ np.uint16(base) for x in listed]
+    rows, y = list(zip(listed, [x.value_lengths().to_numpy() for x in got["held"].chunks], strict=True)), got["toxic"].to_numpy().astype(np.float64)
+    del got, listed
+    w, b = _fit(rows, y, ratio[kept].astype(np.float64))
     out = np.zeros(SLOTS, np.float32)
     out[kept] = w * ratio[kept]
     return out, b

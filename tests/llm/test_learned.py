@@ -87,11 +87,17 @@ def test_scores_against_a_plain_version(spark):
 def test_the_fit_does_not_depend_on_how_much_it_takes_at_once(monkeypatch):
     rng = np.random.default_rng(9)
     sizes = rng.integers(0, 9, 50)
-    rows = rng.integers(0, 20, sizes.sum()).astype(np.int16), sizes, (rng.random(50) < 0.5).astype(float), rng.normal(size=20)
-    whole = toxicity._fit(*rows)
+    at, y, ratio = rng.integers(0, 20, sizes.sum()).astype(np.int16), (rng.random(50) < 0.5).astype(float), rng.normal(size=20)
+    whole = toxicity._fit([(at, sizes)], y, ratio)
     monkeypatch.setattr(toxicity, "_AT_ONCE", 7)
-    parts = toxicity._fit(*rows)
+    cut = int(sizes[:20].sum())
+    parts = toxicity._fit([(at[:cut], sizes[:20]), (at[cut:], sizes[20:])], y, ratio)
     assert np.allclose(whole[0], parts[0]) and abs(whole[1] - parts[1]) < 1e-9
+    # At the optimum the gradient is zero.
+    held = np.zeros((50, 20))
+    np.add.at(held, (np.repeat(np.arange(50), sizes), at), 1)
+    p = 1 / (1 + np.exp(-(held @ (whole[0] * ratio) + whole[1])))
+    assert np.abs(ratio * (held.T @ (p - y)) + whole[0]).max() < 1e-3 and abs((p - y).sum()) < 1e-3
 
 
 def test_forward_backward_sums_over_all_paths():

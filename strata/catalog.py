@@ -20,6 +20,7 @@ class Options:
 
     poll_seconds: int = 2
     abandoned_after_seconds: int = 1800
+    heartbeat_seconds: float = 60
     on_duplicate_key: str = "fail"
     retry_file_faults: bool = True
     delete_imported_files: bool = False
@@ -29,6 +30,8 @@ class Options:
             raise ValueError("poll_seconds must be at least 1")
         if self.abandoned_after_seconds < 120:
             raise ValueError("abandoned_after_seconds must be at least 120")
+        if not 0 < self.heartbeat_seconds < self.abandoned_after_seconds:
+            raise ValueError("heartbeat_seconds must be above 0 and below abandoned_after_seconds")
         if self.on_duplicate_key not in ("fail", "last_wins"):
             raise ValueError("on_duplicate_key is fail or last_wins")
 

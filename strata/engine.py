@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import os
 import re
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.catalog import Catalog, Options
-from strata.errors import StrataError, UnknownDataset
+from strata.errors import NotFree, StrataError, UnknownDataset
 from strata.frames import Frames
 from strata.lineage import checkpointed
 from strata.operators import codelists, jobs, split
@@ -177,7 +178,7 @@ class Engine:
         return self.store.table("jobs", _schema(jobs.JOBS))
 
     def _change(self, change: Callable[[DataFrame], DataFrame]) -> None:
-        self.store.put("jobs", change(self._jobs()).coalesce(1))
+        self.store.change("jobs", _schema(jobs.JOBS), lambda df: change(df).coalesce(1))
 
     def submit(self, path: str, dataset: str, format: str | None = None, requested_by: str | None = None, correlation_id: str | None = None) -> str:
         manifest = self.catalog.get(dataset)
@@ -220,11 +221,21 @@ class Engine:
 
     def run(self, job_id: str) -> Outcome | None:
         """One attempt of a job; faults of the file fail the attempt, and are not raised."""
-        now = F.current_timestamp()
-        self._change(lambda df: jobs.claim(df, job_id, now))
-        job = self.job(job_id)
-        if job is None:
+        if self.job(job_id) is None:
             raise UnknownDataset(f"no job {job_id}")
+
+        def claimed(df: DataFrame) -> DataFrame:
+            if df.where(jobs.free(job_id)).isEmpty():
+                raise NotFree(f"job {job_id} is held or done")
+            return jobs.claim(df, job_id, F.current_timestamp())
+
+        try:
+            self._change(claimed)
+        except NotFree as e:
+            log.info("%s", e)
+            return None
+        job, over = self.job(job_id), threading.Event()
+        threading.Thread(target=self._beat, args=(job, over), daemon=True).start()
         tag = f"strata-{re.sub(r'[^A-Za-z0-9_-]', '_', job['dataset'])}-{job_id}"
         self.spark.addTag(tag)
         try:
@@ -237,6 +248,7 @@ class Engine:
             self._event(job, 2, "failed", f"{type(e).__name__}: {e}"[:2000])
             return None
         finally:
+            over.set()
             self.spark.removeTag(tag)
         self._change(lambda df: jobs.complete(df, job_id, job["attempt"], F.current_timestamp(), done.records_read, done.records_rejected, done.inserted, done.updated))
         self._event(job, 1, "completed", f"read {done.records_read}, rejected {done.records_rejected}, inserted {done.inserted}, updated {done.updated}")
@@ -244,6 +256,14 @@ class Engine:
             os.unlink(job["file"])
         return done
 
+    def _beat(self, job: dict, over: threading.Event) -> None:
+        """Tells that the job's run is alive, until it is over."""
+        while not over.wait(self.options.heartbeat_seconds):
+            try:
+                self._change(lambda df: jobs.beat(df, job["id"], job["attempt"], F.current_timestamp()))
+            except Exception as e:
+                log.warning("no heartbeat of job %s: %s", job["id"], e)
+
     def import_file(self, path: str, dataset: str, format: str | None = None) -> dict:
         """Submits and runs at once; the job's row."""
         job_id = self.submit(path, dataset, format)

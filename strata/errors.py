@@ -33,5 +33,9 @@ class Conflict(StrataError):
     """Another writer committed first."""
 
 
+class NotFree(StrataError):
+    """A job is held by another run, or done."""
+
+
 class UnknownDataset(StrataError):
     """No dataset of that name."""

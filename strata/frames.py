@@ -27,6 +27,11 @@ def issue(field: str | None, message: Column, raw: Column | None = None, severit
     )
 
 
+def record_order(rec_id: Column) -> Column:
+    """A text that sorts records of one entity by place: numbers in a rec_id are filled up to 19 digits."""
+    return F.regexp_replace(F.regexp_replace(rec_id, r"(\d+)", "0" * 18 + "$1"), r"\d*(\d{19})", "$1")
+
+
 def add_issue(df: DataFrame, when: Column, field: str | None, message: str, raw: Column | None = None, severity: str = "Error") -> DataFrame:
     """For custom steps. Warnings neither reject a record nor reach the rejection table."""
     added = F.array_append("issues", issue(field, F.lit(message), raw, severity))

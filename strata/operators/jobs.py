@@ -7,6 +7,8 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.frames import record_order
+
 
 class Status(str, Enum):
     PENDING = "Pending"
@@ -44,12 +46,17 @@ def next_job(jobs: DataFrame, queue: str, now: Column) -> DataFrame:
     return due(jobs, queue, now).limit(1)
 
 
+def free(job_id: str) -> Column:
+    return (F.col("id") == job_id) & F.col("status").isin(Status.PENDING.value, Status.FAILED.value)
+
+
 def claim(jobs: DataFrame, job_id: str, now: Column) -> DataFrame:
-    return _set(jobs, F.col("id") == job_id, status=Status.PROCESSING.value, attempt=F.col("attempt") + 1, started=now, heartbeat=now, error=F.lit(None))
+    """Only a job that no one holds and that isn't done can be claimed."""
+    return _set(jobs, free(job_id), status=Status.PROCESSING.value, attempt=F.col("attempt") + 1, started=now, heartbeat=now, error=F.lit(None))
 
 
-def beat(jobs: DataFrame, job_id: str, now: Column) -> DataFrame:
-    return _set(jobs, (F.col("id") == job_id) & (F.col("status") == Status.PROCESSING.value), heartbeat=now)
+def beat(jobs: DataFrame, job_id: str, attempt: int, now: Column) -> DataFrame:
+    return _set(jobs, _mine(job_id, attempt), heartbeat=now)
 
 
 def _mine(job_id: str, attempt: int) -> Column:
@@ -123,7 +130,7 @@ def listed(jobs: DataFrame, dataset: str | None = None, status: str | None = Non
 
 def rejected(rows: DataFrame, job_id: str, top: int = 1000) -> DataFrame:
     """A job's rejections in the order of the source. top is held to 1 to 100000."""
-    return rows.where(F.col("job_id") == job_id).orderBy("root_ord", "rec_id", "entity", "field").limit(min(max(top, 1), 100_000))
+    return rows.where(F.col("job_id") == job_id).orderBy("root_ord", record_order(F.col("rec_id")), "entity", "field").limit(min(max(top, 1), 100_000))
 
 
 def timeline(events: DataFrame, job_id: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.errors import LookupRejected
-from strata.frames import Frames, issue
+from strata.frames import Frames, issue, record_order
 from strata.functions.convert import shown, trimmed
 from strata.lineage import checkpointed
 from strata.operators.validate import raw_of
@@ -78,7 +78,7 @@ def looked_up(df: DataFrame, entity: Entity, field: Field, provider: Provider, o
     policy, lookup, spark = field.lookup.on_missing, field.lookup, df.sparkSession
     key, target = F.col(f"val.`{field.target}`"), field.spark_type().simpleString()
     df = df.withColumn("__key", key)
-    keys = df.where("__key is not null").groupBy(F.col("__key").alias("key")).agg(F.min(F.struct("root_ord", "rec_id")).alias("first"))
+    keys = df.where("__key is not null").groupBy(F.col("__key").alias("key")).agg(F.min(F.struct("root_ord", record_order(F.col("rec_id")).alias("rec_id"))).alias("first"))
     found = provider.resolve(lookup.list, keys.select("key"), lookup.case_insensitive)
     if policy in (Missing.REJECT_FILE, Missing.AUTO_CREATE):
         missing = keys.join(found.select("key"), "key", "left_anti")

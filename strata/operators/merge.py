@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.errors import DuplicateKey, MissingParent
-from strata.frames import Frames
+from strata.frames import Frames, record_order
 from strata.lineage import checkpointed
 from strata.plans.manifest import Entity, Manifest
 
@@ -33,19 +33,20 @@ class Merged:
 
 
 def numbered(df: DataFrame, order: list[str], start: int, name: str) -> DataFrame:
-    """df with dense numbers above start, by the order columns (the first one a long that spreads the rows).
+    """df with dense numbers above start, by the order columns: a long that spreads the rows, then record ids.
 
     Rows are cut into ranges of the first column. A range with more than twice its share, such as one root's many
     children, is dealt on by a hash of the order columns and numbered part by part. Counts of ranges and of parts are
     at most MOST_RANGES and twice as many rows, so they are broadcast. df is read several times: it should be kept.
     """
+    ordered = [F.col(order[0]), *[record_order(F.col(c)) for c in order[1:]]]
     rows = df.agg(F.count("*").alias("n"), F.min(order[0]).alias("a"), F.max(order[0]).alias("b")).first()
     if not rows["n"]:
         return df.withColumn(name, F.lit(None).cast("long"))
     share = max(RANGE_ROWS, -(-rows["n"] // MOST_RANGES))
     ranges = -(-rows["n"] // share)
     if ranges == 1:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") + start)
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*ordered)).cast("long") + start)
     first, last = rows["a"] or 0, rows["b"] or 0
     width = (last - first) // ranges + 1
     ranged = df.withColumn("__range", F.expr(f"coalesce({order[0]} - {first}L, 0L) div {width}L"))
@@ -53,7 +54,7 @@ def numbered(df: DataFrame, order: list[str], start: int, name: str) -> DataFram
     dealt = ranged.join(F.broadcast(parts), "__range").withColumn("__part", F.when(F.col("__parts") > 1, F.pmod(F.xxhash64(*order), "__parts")).otherwise(0)).drop("__parts")
     before = Window.orderBy("__range", "__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("__range", "__part").count().select("__range", "__part", (F.coalesce(F.sum("count").over(before), F.lit(0)) + start).alias("__offset"))
-    inside = F.row_number().over(Window.partitionBy("__range", "__part").orderBy(*order)).cast("long")
+    inside = F.row_number().over(Window.partitionBy("__range", "__part").orderBy(*ordered)).cast("long")
     return dealt.withColumn(name, inside).join(F.broadcast(offsets), ["__range", "__part"]).withColumn(name, F.col(name) + F.col("__offset")).drop("__range", "__part", "__offset")
 
 
@@ -65,7 +66,7 @@ def _match(entity: Entity, parent: bool) -> list[tuple[str, bool]]:
 
 def last_wins(stage: DataFrame, columns: list[str]) -> DataFrame:
     """Of the rows with one natural key the last by place in the source."""
-    window = Window.partitionBy(*columns).orderBy(F.desc("root_ord"), F.desc("rec_id"))
+    window = Window.partitionBy(*columns).orderBy(F.desc("root_ord"), record_order(F.col("rec_id")).desc())
     return stage.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
 
 

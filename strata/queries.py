@@ -566,7 +566,7 @@ def duplicate_natural_key(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC) = 1""")
 def last_wins_dedup(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumns({"root_ord": F.col("l_partkey"), "rec_id": F.lpad(F.col("l_suppkey").cast("string"), 20, "0")})
+    rows = table(spark, sf_dir, "lineitem").withColumns({"root_ord": F.col("l_partkey"), "rec_id": F.concat(F.lit("0/Line["), F.col("l_suppkey").cast("string"), F.lit("]"))})
     return last_wins(rows, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 

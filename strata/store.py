@@ -1,14 +1,19 @@
 """Versioned parquet tables with one commit for several tables.
 
 A version of a table is a folder; a commit is one small JSON file that names the current version of every table and the
-job that made it. It is published by a rename that fails if the number is taken, so readers see all of a job or
-nothing, and of two writers one loses. Paths go through Hadoop's file systems.
+jobs that have committed. It is published by a rename to a number that is not taken, so readers see all of a job or
+nothing. A writer that finds the number taken goes on top of the new head if the tables that it changes are as it read
+them, and else loses. How exclusive the rename is depends on the file system (HDFS: it is; an object store or a local
+disk may let two writers through in the moment between test and rename). Paths go through Hadoop's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import random
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,17 +58,39 @@ class Store:
         return folder
 
     def commit(self, base: dict, changed: dict[str, str], job: str | None = None) -> dict:
-        """Publishes staged versions on top of the head that they were made from."""
-        head = {"number": base["number"] + 1, "tables": base["tables"] | changed, "jobs": [*base["jobs"], *([job] if job else [])][-1000:]}
+        """Publishes staged versions, made from the head ``base``; other tables may have changed since."""
+        while True:
+            head, now = self._published(base, changed, job), None
+            if head:
+                return head
+            now = self.head()
+            if any(now["tables"].get(name) != base["tables"].get(name) for name in changed) or job in now["jobs"]:
+                raise Conflict(f"{', '.join(sorted(changed))}: changed by another writer")
+            base = now
+
+    def _published(self, base: dict, changed: dict[str, str], job: str | None) -> dict | None:
+        head = {"number": base["number"] + 1, "tables": base["tables"] | changed, "jobs": [*base["jobs"], *([job] if job else [])]}
         draft, final = f"{self.root}/commits/.draft-{uuid.uuid4().hex}", f"{self.root}/commits/commit-{head['number']:010d}.json"
         stream = self._fs.create(self._path(draft), False)
         stream.write(json.dumps(head).encode())
         stream.close()
         if self._fs.exists(self._path(final)) or not self._fs.rename(self._path(draft), self._path(final)):
             self._fs.delete(self._path(draft), False)
-            raise Conflict(f"commit {head['number']} was made by another writer")
+            return None
         return head
 
+    def change(self, name: str, schema, change: Callable[[DataFrame], DataFrame], tries: int = 20) -> None:
+        """One table's next version, made anew from what another writer has left meanwhile."""
+        for left in range(tries, 0, -1):
+            base = self.head()
+            try:
+                self.commit(base, {name: self.stage(name, change(self.table(name, schema, base)))})
+                return
+            except Conflict:
+                if left == 1:
+                    raise
+                time.sleep(random.uniform(0, 0.2))
+
     def put(self, name: str, df: DataFrame) -> None:
         """One table's next version."""
         base = self.head()

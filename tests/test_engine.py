@@ -1,5 +1,6 @@
 """Whole imports on small files, and the invariants of validation, lookups, split, merge and jobs."""
 
+import time
 from dataclasses import replace
 
 import pytest
@@ -10,9 +11,9 @@ from strata.catalog import Options
 from strata.engine import Engine, Step
 from strata.errors import Conflict, DuplicateKey, LookupRejected
 from strata.frames import add_issue, frame
-from strata.operators import split
+from strata.operators import jobs, split
 from strata.operators.lookups import FunctionProvider, RelationProvider, looked_up, resolve_lookups
-from strata.operators.merge import merge, numbered
+from strata.operators.merge import last_wins, merge, numbered
 from strata.operators.validate import validate
 from strata.plans.manifest import Entity, Field, Kind, Lookup, Manifest, Missing
 from strata.store import Store
@@ -166,6 +167,61 @@ def test_commits_are_atomic_and_exclusive(spark, tmp_path):
     assert store.table("t", "id long").count() == 3 and store.head()["jobs"] == ["job"]
     with pytest.raises(Conflict):
         store.commit(base, {"t": folder})
+    # A table that no one else has changed goes on top; a changed one is made anew.
+    store.commit(base, {"u": store.stage("u", spark.range(2))})
+    assert store.table("t", "id long").count() == 3 and store.table("u", "id long").count() == 2
+    between = [spark.range(5, 6)]
+
+    def more(df):
+        if between:
+            store.put("t", df.unionByName(between.pop()))
+        return df.unionByName(spark.range(9, 10))
+
+    store.change("t", "id long", more)
+    assert sorted(r.id for r in store.table("t", "id long").collect()) == [0, 1, 2, 5, 9]
+    # However many imports there have been, a repeated one is known.
+    for i in range(3):
+        store.commit(store.head(), {}, f"more-{i}")
+    assert store.head()["jobs"] == ["job", "more-0", "more-1", "more-2"]
+
+
+def test_records_are_ordered_by_number(spark):
+    ids = [f"0/Line[{i}]" for i in (0, 2, 10, 9, 100)]
+    df = spark.createDataFrame([(0, x, 1) for x in ids], "root_ord long, rec_id string, k int")
+    assert last_wins(df, ["k"]).first()["rec_id"] == "0/Line[100]"
+    assert [r["rec_id"] for r in numbered(df, ["root_ord", "rec_id"], 0, "n").orderBy("n").collect()] == [f"0/Line[{i}]" for i in (0, 2, 9, 10, 100)]
+    rows = df.select(F.lit("j").alias("job_id"), "root_ord", "rec_id", F.lit("Line").alias("entity"), F.lit("f").alias("field"))
+    assert [r["rec_id"] for r in jobs.rejected(rows, "j", 3).collect()] == ["0/Line[0]", "0/Line[2]", "0/Line[9]"]
+
+
+def test_a_submit_during_an_import_and_a_second_claim(engine, tmp_path):
+    engine.add_dataset(orders())
+    first, more = engine.submit(write(tmp_path, "a.xml", XML), "orders"), write(tmp_path, "b.xml", XML)
+    merge, seen = engine._import, []
+
+    def slow(job):
+        seen.append((engine.submit(more, "orders"), engine.run(first)))
+        return merge(job)
+
+    engine._import = slow
+    assert engine.run(first) is not None and seen[0][1] is None  # the second claim gets nothing
+    engine._import = merge
+    assert engine.job(first)["attempt"] == 1 and engine.job(seen[0][0])["status"] == "Pending" and engine.run(first) is None
+    assert engine.run_all() == 1
+
+
+def test_a_long_job_tells_that_it_is_alive(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "alive"), options=Options(heartbeat_seconds=0.2)).add_dataset(orders())
+    job_id, merge = engine.submit(write(tmp_path, "a.xml", XML), "orders"), engine._import
+
+    def slow(job):
+        for _ in range(100):
+            if engine.job(job["id"])["heartbeat"] > job["heartbeat"]:
+                return merge(job)
+            time.sleep(0.1)
+
+    engine._import = slow
+    assert engine.run(job_id) is not None and engine.job(job_id)["status"] in ("Succeeded", "CompletedWithRejections")
 
 
 def test_registered_queries_have_sql_with_the_same_columns(spark):

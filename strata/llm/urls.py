@@ -1,7 +1,7 @@
 """URL filters: a blocked Bloom filter passes possible hits to an exact hash join.
 
 Listed keys are rules (host and path prefix) and canonical URLs. Each sets its bits within one block of 512 bits, so
-a test touches one cache line. A URL's candidate keys are its host's suffixes with its path's prefixes of the
+a test touches one cache line. A URL's candidate keys are its host's suffixes and its path's prefixes of the
 lengths that occur in the rules, and its own canonical form; those that pass the filter are joined to the list,
 which removes false positives.
 """
@@ -79,18 +79,20 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
     other columns are ignored; empty tables are fine.
     """
     spark = pages.sparkSession
-    rule_keys = rules.where("host is not null and path is not null").select(F.concat(F.lit("/"), "host", "path").alias("key"), F.length("host").alias("hosts"), F.length("path").alias("paths"), "verdict", F.concat("host", "path").alias("rule"))
+    rule_keys = rules.where("host is not null and path is not null").select(F.concat(F.lit("/"), "host", "path").alias("key"), F.length("host").alias("hosts"), F.length("path").alias("paths"), "verdict", F.concat("host", "path").alias("rule"), F.col("host").alias("rule_host"))
     url_keys = listed.where(f"`url` is not null and instr(url, '://') > 0").select(canonical(F.col("url")).alias("key"), F.lit(0).alias("hosts"), F.lit(0).alias("paths"), F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("rule"))
-    keys = rule_keys.unionByName(url_keys).groupBy("key").agg(*[F.min_by(c, "verdict").alias(c) for c in ("hosts", "paths", "verdict", "rule")])
+    keys = rule_keys.drop("rule_host").unionByName(url_keys).groupBy("key").agg(*[F.min_by(c, "verdict").alias(c) for c in ("hosts", "paths", "verdict", "rule")])
     n = keys.count()
-    lengths = sorted(r["paths"] for r in rule_keys.select("paths").distinct().collect())
+    kinds = rule_keys.select("paths", F.size(F.split("rule_host", r"\.")).alias("labels")).distinct().collect()
+    lengths, counts = sorted({r["paths"] for r in kinds}), sorted({r["labels"] for r in kinds})
     bloom = BlockedBloom(keys, n)
 
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     rows = rows.select("row", "page_id", host.alias("host"), path.alias("path"), F.when(F.instr("url", "://") > 0, canonical(F.col("url"))).alias("own"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # Suffixes of as many labels as rules have, so that a host of very many labels costs no more.
+    dots = F.length("host") - F.length(F.replace("host", F.lit(".")))
+    suffixes = F.array_compact(F.array(*[F.when(dots >= n - 1, F.substring_index("host", ".", -n)) for n in counts]).cast("array<string>"))
     heads = F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda x: x <= F.length("path"))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda x: F.concat(F.lit("/"), s, F.substring("path", F.lit(1), x)))))
     tests = rows.select("*", F.explode(F.array_distinct(F.concat(F.when(F.col("own").isNull(), F.array().cast("array<string>")).otherwise(F.array("own")), F.when(F.col("own").isNotNull(), pairs).otherwise(F.array().cast("array<string>"))))).alias("key"))

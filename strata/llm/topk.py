@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Vectors in a shard, queries in a block and vectors in a leaf.
 SHARD, BLOCK, LEAF = 8192, 1024, 128
+#: Products of lengths below which a sum of products can't leave a long, and a long's range.
+EXACT, LONG = float(1 << 62), (-(1 << 63), (1 << 63) - 1)
 
 
 class BallTree:
@@ -67,7 +69,10 @@ class BallTree:
                         heapq.heappush(heap, (-bounds[child], child))
                 continue
             rows = self.rows[node]
-            scores = self.vectors[rows] @ query
+            if size * (self.far[node] + self.radius[node]) < EXACT:
+                scores = self.vectors[rows] @ query
+            else:  # beyond a long: whole numbers of any size, held to a long's range
+                scores = np.clip(self.vectors[rows].astype(object) @ query.astype(object), *LONG).astype(np.int64)
             for i in np.flatnonzero(scores >= floor):
                 if (vec := int(ids[rows[i]])) != own:
                     item = (int(scores[i]), -vec)
@@ -80,19 +85,19 @@ class BallTree:
         return best
 
 
-def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int = 1024, most: int = 1 << 24) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component as a double. Vectors that are null, empty or hold a null or
-    non-finite component take no part; nor do those with a component beyond most in size, whose scores a long might
-    not hold; nor rows without an id."""
+def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
+    """vec_id, v: floor(scale * x) of each component as a double, held to a long's range. Vectors that are null, empty
+    or hold a null or non-finite component take no part, nor do rows without an id."""
     v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(scale) * x.cast("double")))
-    fit = F.forall(F.col(vector_col), lambda x: F.coalesce(F.abs(scale * x.cast("double")) <= most, F.lit(False)) & ~F.isnan(x.cast("double")))
+    fit = F.forall(F.col(vector_col), lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(x.cast("double")))
     return df.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fit, v).alias("v")).where("vec_id is not null and size(v) > 0")
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products, ties to smaller vec_id.
 
-    A query's own vec_id is no candidate of it; only vectors of its length are. Repeated rows of candidates count
+    A query's own vec_id is no candidate of it; only vectors of its length are. Null vectors, and those that hold
+    nulls or non-finite numbers, take no part. Scores are exact; one beyond a long is that long's bound. Repeated rows of candidates count
     each; repeated equal queries count once. Other columns are ignored. Empty tables give no rows.
     """
     rows = quantized(vectors, id_col, vector_col)

@@ -2,6 +2,7 @@
 
 import binascii
 import json
+import math
 import random
 
 import numpy as np
@@ -64,7 +65,7 @@ def test_turn_rows_with_nulls_ties_and_no_rows(spark):
 def brute(queries, rows, k):
     out = []
     for q, v in queries:
-        scored = sorted((-int(np.dot(v, w)), i) for i, w in rows if i != q and len(w) == len(v))
+        scored = sorted((-min(max(int(np.dot(v, w)), -(1 << 63)), (1 << 63) - 1), i) for i, w in rows if i != q and len(w) == len(v))
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -74,9 +75,11 @@ def test_top_k_is_exact(spark, shard):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(150)]
     rows += [(1000 + i, rows[3][1]) for i in range(30)] + [(1000, rows[3][1])] + [(2000, [1.0, 2.0]), (2050, [0.5, -1.0]), (2100, [0.0] * 6)]
-    bad = [(3000, None), (3050, [1.0, None]), (3100, [float("nan")] * 6), (3150, [float("inf")] * 6), (3200, []), (None, [1.0] * 6), (3250, [1e30] * 6)]
+    bad = [(3000, None), (3050, [1.0, None]), (3100, [float("nan")] * 6), (3150, [float("inf")] * 6), (3200, []), (None, [1.0] * 6)]
+    # Large components: products within a long, sums beyond it, and components beyond it.
+    rows += [(3300, [20000.0, 1.0]), (3301, [20000.0, 0.0]), (3350, [3e9, -3e9, 3e9, 1.0, 2.0, 3.0]), (3351, [-3e9, 3e9, 3e9, 1.0, 2.0, 3.0]), (3250, [1e30] * 6)]
     df = spark.createDataFrame([(i, v, "clash") for i, v in rows + bad], "vec_id long, embedding array<double>, shard string")
-    exact = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in rows]
+    exact = [(i, np.array([min(max(math.floor(1024 * x), -(1 << 63)), (1 << 63) - 1) for x in v], object)) for i, v in rows]
     found = topk.top_k(df.where("vec_id % 50 = 0"), df, 7, shard=shard, block=2)
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()) == brute([(i, v) for i, v in {i: v for i, v in exact}.items() if i % 50 == 0], exact, 7)
     empty = df.where("false")
@@ -122,7 +125,7 @@ def test_rules_against_brute_force(spark):
     rng = random.Random(3)
     parts = [["", "http", "HTTPS"], ["example.com", "www.example.com", "WWW.Example.com", "a.www.example.com", "notexample.com", "x.net", "net", "com", "spam-farm.example.org", "É.com", ""], ["", "/", "/en/", "/en", "/es/1", "/fr/x/", "/EN/", "//en/"], ["", "?q=/en/", "#/en/", "?utm_source=a&b=1", "#é\n"]]
     given_urls = [rng.choice(parts[0]) + rng.choice(["://", "://", "://", ":/"]) + "".join(rng.choice(p) for p in parts[1:]) for _ in range(600)]
-    given_urls += [None, "", "://", "http://com/", "http://com", "http://a/b://c.com/", "http://com/" + "x" * 100_000] + [given_urls[0]] * 5
+    given_urls += [None, "", "://", "http://com/", "http://com", "http://a/b://c.com/", "http://com/" + "x" * 100_000, "http://" + "a." * 100_000 + "com/x", "http://" + "." * 50_000 + "x.net/es/"] + [given_urls[0]] * 5
     df = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(given_urls)], "page_id long, url string, host string, key string")
     rules = spark.createDataFrame([*RULES, (None, "/", "block"), RULES[0]], "host string, path string, verdict string")
     listed = spark.createDataFrame([(u,) for u in [*LISTED, None, "nothing"]], "url string")

@@ -39,25 +39,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --- The dirty two-level dataset: orders with lines -----------------------------------------------------------------
+# --- The dirty two-level dataset: the fixtures' orders, each with its lineitem rows ----------------------------------
 
 MANIFEST = Manifest(
-    "orders",
+    "sales",
+    description="Two of the provided tables as one tree; the nation of an order is its customer's",
     root=Entity(
-        "Order", "Orders", key_column="OrderId", natural_key=("OrderNumber",),
+        "orders", "sales_orders", schema="tpch", key_column="order_id", natural_key=("o_code",),
         fields=(
-            Field("OrderNumber", required=True, max_length=20), Field("OrderDate", type=Kind.DATE),
-            Field("Country", lookup=Lookup("countries")), Field("Total", type=Kind.DECIMAL),
+            Field("o_code", required=True, max_length=15), Field("o_orderdate", type=Kind.DATE), Field("o_orderpriority", max_length=30),
+            Field("nation_name", column="nation_key", lookup=Lookup("nations")), Field("o_totalprice", type=Kind.DECIMAL, precision=15, scale=2),
         ),
         children=(
             Entity(
-                "Line", "OrderLines", key_column="LineId", parent_key_column="OrderId", natural_key=("LineNumber",),
-                fields=(Field("LineNumber", type=Kind.INT32, required=True), Field("Sku"), Field("Quantity", type=Kind.INT32)),
+                "lineitem", "sales_lineitem", schema="tpch", key_column="lineitem_id", parent_key_column="order_id", natural_key=("l_linenumber",),
+                fields=(
+                    Field("l_linenumber", type=Kind.INT32, required=True), Field("l_partkey", type=Kind.INT64),
+                    Field("l_quantity", type=Kind.DECIMAL, precision=15, scale=2), Field("l_shipdate", type=Kind.DATE),
+                ),
             ),
         ),
     ),
 )
-ORDER, LINE = MANIFEST.root, MANIFEST.root.children[0]
+ORDERS, LINEITEM = MANIFEST.root, MANIFEST.root.children[0]
 
 
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,38 +70,39 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("o_orderkey")
     return rows.select(
-        k, F.when(k % 101 == 0, "  ").otherwise(F.concat(F.lit("O-"), k.cast("string"))).alias("OrderNumber"),
-        F.when(k % 89 == 0, "not-a-date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("OrderDate"),
-        F.when(k % 103 == 0, "XX").when(k % 7 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("Country"),
-        F.when(k % 97 == 0, "banana").when(k % 83 == 0, "1234567890123").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("Total"),
+        k, F.when(k % 101 == 0, "  ").otherwise(F.concat(F.lit("O-"), k.cast("string"))).alias("o_code"),
+        F.when(k % 89 == 0, "not-a-date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("o_orderdate"), "o_orderpriority",
+        F.when(k % 103 == 0, "XX").when(k % 7 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("nation_name"),
+        F.when(k % 97 == 0, "banana").when(k % 83 == 0, "12345678901234").otherwise(F.col("o_totalprice").cast("decimal(15,2)").cast("string")).alias("o_totalprice"),
     )
 
 
 def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     return table(spark, sf_dir, "lineitem").select(
-        k, n.cast("string").alias("LineNumber"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("Sku"),
-        F.when((k % 79 == 0) & (n == 1), "n/a").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("Quantity"),
+        k, n.cast("string").alias("l_linenumber"), F.col("l_partkey").cast("string").alias("l_partkey"),
+        F.when((k % 79 == 0) & (n == 1), "n/a").otherwise(F.col("l_quantity").cast("decimal(15,2)").cast("string")).alias("l_quantity"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate"),
     )
 
 
 DIRTY = """
     dirty_orders AS (
-        SELECT o_orderkey, CASE WHEN o_orderkey % 101 = 0 THEN '  ' ELSE 'O-' || o_orderkey END AS OrderNumber,
-            CASE WHEN o_orderkey % 89 = 0 THEN 'not-a-date' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS OrderDate,
-            CASE WHEN o_orderkey % 103 = 0 THEN 'XX' WHEN o_orderkey % 7 = 0 THEN lower(n_name) ELSE n_name END AS Country,
-            CASE WHEN o_orderkey % 97 = 0 THEN 'banana' WHEN o_orderkey % 83 = 0 THEN '1234567890123' ELSE o_totalprice::DECIMAL(18,2)::VARCHAR END AS Total
+        SELECT o_orderkey, CASE WHEN o_orderkey % 101 = 0 THEN '  ' ELSE 'O-' || o_orderkey END AS o_code, o_orderpriority,
+            CASE WHEN o_orderkey % 89 = 0 THEN 'not-a-date' ELSE strftime(orders.o_orderdate, '%Y-%m-%d') END AS o_orderdate,
+            CASE WHEN o_orderkey % 103 = 0 THEN 'XX' WHEN o_orderkey % 7 = 0 THEN lower(n_name) ELSE n_name END AS nation_name,
+            CASE WHEN o_orderkey % 97 = 0 THEN 'banana' WHEN o_orderkey % 83 = 0 THEN '12345678901234' ELSE orders.o_totalprice::DECIMAL(15,2)::VARCHAR END AS o_totalprice
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
     dirty_lines AS (
-        SELECT l_orderkey, l_linenumber::VARCHAR AS LineNumber, 'P' || l_partkey AS Sku,
-            CASE WHEN l_orderkey % 79 = 0 AND l_linenumber = 1 THEN 'n/a' ELSE l_quantity::INTEGER::VARCHAR END AS Quantity FROM lineitem),
+        SELECT l_orderkey, t.l_linenumber::VARCHAR AS l_linenumber, t.l_partkey::VARCHAR AS l_partkey, strftime(t.l_shipdate, '%Y-%m-%d') AS l_shipdate,
+            CASE WHEN l_orderkey % 79 = 0 AND t.l_linenumber = 1 THEN 'n/a' ELSE t.l_quantity::DECIMAL(15,2)::VARCHAR END AS l_quantity FROM lineitem t),
     issues AS (
-        SELECT 'Order' AS entity, o_orderkey AS root_ord, 'OrderNumber' AS field, 'a value is required' AS reason, OrderNumber AS raw_value FROM dirty_orders WHERE trim(OrderNumber) = ''
-        UNION ALL SELECT 'Order', o_orderkey, 'OrderDate', 'cannot read ''' || OrderDate || ''' as date', OrderDate FROM dirty_orders WHERE try_cast(OrderDate AS DATE) IS NULL
-        UNION ALL SELECT 'Order', o_orderkey, 'Country', '''' || Country || ''' is not in countries', Country FROM dirty_orders WHERE lower(Country) NOT IN (SELECT lower(n_name) FROM nation)
-        UNION ALL SELECT 'Order', o_orderkey, 'Total', 'cannot read ''' || Total || ''' as decimal', Total FROM dirty_orders WHERE try_cast(Total AS DOUBLE) IS NULL
-        UNION ALL SELECT 'Order', o_orderkey, 'Total', 'does not fit decimal(18,6)', Total FROM dirty_orders WHERE try_cast(Total AS DOUBLE) >= 1e12
-        UNION ALL SELECT 'Line', l_orderkey, 'Quantity', 'cannot read ''' || Quantity || ''' as int32', Quantity FROM dirty_lines WHERE try_cast(Quantity AS INTEGER) IS NULL),
+        SELECT 'orders' AS entity, o_orderkey AS root_ord, 'o_code' AS field, 'a value is required' AS reason, o_code AS raw_value FROM dirty_orders WHERE trim(o_code) = ''
+        UNION ALL SELECT 'orders', o_orderkey, 'o_orderdate', 'cannot read ''' || o_orderdate || ''' as date', o_orderdate FROM dirty_orders WHERE try_cast(o_orderdate AS DATE) IS NULL
+        UNION ALL SELECT 'orders', o_orderkey, 'nation_name', '''' || nation_name || ''' is not in nations', nation_name FROM dirty_orders WHERE lower(nation_name) NOT IN (SELECT lower(n_name) FROM nation)
+        UNION ALL SELECT 'orders', o_orderkey, 'o_totalprice', 'cannot read ''' || o_totalprice || ''' as decimal', o_totalprice FROM dirty_orders WHERE try_cast(o_totalprice AS DOUBLE) IS NULL
+        UNION ALL SELECT 'orders', o_orderkey, 'o_totalprice', 'does not fit decimal(15,2)', o_totalprice FROM dirty_orders WHERE try_cast(o_totalprice AS DOUBLE) >= 1e13
+        UNION ALL SELECT 'lineitem', l_orderkey, 'l_quantity', 'cannot read ''' || l_quantity || ''' as decimal', l_quantity FROM dirty_lines WHERE try_cast(l_quantity AS DOUBLE) IS NULL),
     bad AS (SELECT DISTINCT root_ord FROM issues)"""
 
 
@@ -105,20 +110,20 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> Frames:
     k = F.col("o_orderkey")
     line = F.col("l_orderkey").cast("string")
     # A line's id need only be unique: equal lines of an order are told apart by where they were read.
-    rec = F.concat(line, F.lit("/Line["), F.monotonically_increasing_id().cast("string"), F.lit("]"))
+    rec = F.concat(line, F.lit("/lineitem["), F.monotonically_increasing_id().cast("string"), F.lit("]"))
     return {
-        "Order": frame(dirty_orders(spark, sf_dir), ORDER, k, k.cast("string"), line=k),
-        "Line": frame(dirty_lines(spark, sf_dir), LINE, F.col("l_orderkey"), rec, line, line=F.col("l_orderkey")),
+        "orders": frame(dirty_orders(spark, sf_dir), ORDERS, k, k.cast("string"), line=k),
+        "lineitem": frame(dirty_lines(spark, sf_dir), LINEITEM, F.col("l_orderkey"), rec, line, line=F.col("l_orderkey")),
     }
 
 
-def countries(spark: SparkSession, sf_dir: str) -> RelationProvider:
-    return RelationProvider(table(spark, sf_dir, "nation").select(F.lit("countries").alias("list"), F.col("n_name").alias("code"), F.col("n_nationkey").alias("value")))
+def nations(spark: SparkSession, sf_dir: str) -> RelationProvider:
+    return RelationProvider(table(spark, sf_dir, "nation").select(F.lit("nations").alias("list"), F.col("n_name").alias("code"), F.col("n_nationkey").alias("value")))
 
 
 def checked(spark: SparkSession, sf_dir: str) -> Frames:
     """Validated and looked up."""
-    return resolve_lookups(validate(raw_frames(spark, sf_dir), MANIFEST), MANIFEST, {"codelist": countries(spark, sf_dir)})
+    return resolve_lookups(validate(raw_frames(spark, sf_dir), MANIFEST), MANIFEST, {"codelist": nations(spark, sf_dir)})
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> Frames:
@@ -150,18 +155,18 @@ def bad_roots(spark, sf_dir):
     return split.bad_roots(checked(spark, sf_dir))
 
 
-@query(f"""WITH {DIRTY} SELECT o_orderkey AS root_ord, OrderNumber AS order_number, OrderDate::DATE::VARCHAR AS order_date, n_nationkey AS country, Total::DECIMAL(18,6)::DOUBLE AS total
-    FROM dirty_orders JOIN nation ON lower(n_name) = lower(Country) WHERE o_orderkey NOT IN (SELECT root_ord FROM bad)""")
+@query(f"""WITH {DIRTY} SELECT o_orderkey AS root_ord, o_code, o_orderdate::DATE::VARCHAR AS o_orderdate, o_orderpriority, n_nationkey AS nation_key, o_totalprice::DECIMAL(15,2)::DOUBLE AS o_totalprice
+    FROM dirty_orders JOIN nation ON lower(n_name) = lower(nation_name) WHERE o_orderkey NOT IN (SELECT root_ord FROM bad)""")
 def accepted_roots(spark, sf_dir):
-    rows = accepted(spark, sf_dir)["Order"]
-    return rows.select("root_ord", F.col("val.OrderNumber").alias("order_number"), F.col("val.OrderDate").cast("string").alias("order_date"), F.col("val.Country").alias("country"), F.col("val.Total").cast("double").alias("total"))
+    rows = accepted(spark, sf_dir)["orders"].select("root_ord", "val.*")
+    return rows.select("root_ord", "o_code", F.col("o_orderdate").cast("string").alias("o_orderdate"), "o_orderpriority", "nation_key", F.col("o_totalprice").cast("double").alias("o_totalprice"))
 
 
-@query(f"""WITH {DIRTY} SELECT l_orderkey AS root_ord, LineNumber::INTEGER AS line_number, Sku AS sku, Quantity::INTEGER AS quantity
+@query(f"""WITH {DIRTY} SELECT l_orderkey AS root_ord, l_linenumber::INTEGER AS l_linenumber, l_partkey::BIGINT AS l_partkey, l_quantity::DECIMAL(15,2)::DOUBLE AS l_quantity, l_shipdate
     FROM dirty_lines WHERE l_orderkey NOT IN (SELECT root_ord FROM bad)""")
 def accepted_lines(spark, sf_dir):
-    rows = accepted(spark, sf_dir)["Line"]
-    return rows.select("root_ord", F.col("val.LineNumber").alias("line_number"), F.col("val.Sku").alias("sku"), F.col("val.Quantity").alias("quantity"))
+    rows = accepted(spark, sf_dir)["lineitem"].select("root_ord", "val.*")
+    return rows.select("root_ord", "l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_shipdate").cast("string").alias("l_shipdate"))
 
 
 @query(f"WITH {DIRTY} SELECT entity, root_ord, field, raw_value FROM issues ORDER BY root_ord, entity DESC, field LIMIT 100")
@@ -310,10 +315,10 @@ def rename_project(spark, sf_dir):
     return validated(customers(spark, sf_dir), entity, "c_custkey").select("root_ord", "val.customer_name", "val.nation")
 
 
-@query("SELECT o_orderkey AS root_ord, 'OrderNumber' AS field, 'a value is required' AS message FROM orders WHERE o_orderkey % 101 = 0")
+@query("SELECT o_orderkey AS root_ord, 'o_code' AS field, 'a value is required' AS message FROM orders WHERE o_orderkey % 101 = 0")
 def required_missing(spark, sf_dir):
-    df = validate(raw_frames(spark, sf_dir), MANIFEST)["Order"]
-    return df.select("root_ord", F.explode("issues").alias("i")).where("i.field = 'OrderNumber'").select("root_ord", "i.field", "i.message")
+    df = validate(raw_frames(spark, sf_dir), MANIFEST)["orders"]
+    return df.select("root_ord", F.explode("issues").alias("i")).where("i.field = 'o_code'").select("root_ord", "i.field", "i.message")
 
 
 @query("SELECT o_orderkey AS root_ord FROM orders WHERE o_orderkey % 11 = 0")
@@ -343,11 +348,11 @@ def decimal_overflow(spark, sf_dir):
     return df.select("root_ord", has_errors().alias("too_wide"), F.col("val.t").cast("double").alias("value"))
 
 
-@query("SELECT o_orderkey AS root_ord, 'at least one Line is required' AS message FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("SELECT o_orderkey AS root_ord, 'at least one lineitem is required' AS message FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def required_child(spark, sf_dir):
-    manifest = replace(MANIFEST, root=replace(ORDER, children=(replace(LINE, required=True),)))
-    df = validate(raw_frames(spark, sf_dir), manifest)["Order"]
-    return df.select("root_ord", F.explode("issues").alias("i")).where("i.field = 'Line'").select("root_ord", "i.message")
+    manifest = replace(MANIFEST, root=replace(ORDERS, children=(replace(LINEITEM, required=True),)))
+    df = validate(raw_frames(spark, sf_dir), manifest)["orders"]
+    return df.select("root_ord", F.explode("issues").alias("i")).where("i.field = 'lineitem'").select("root_ord", "i.message")
 
 
 @query("SELECT c_custkey AS root_ord, c_acctbal < 0 AS warned, false AS rejected FROM customer")
@@ -365,8 +370,8 @@ def with_country(spark, sf_dir, **lookup) -> tuple[DataFrame, Entity, Field]:
     """Customers whose country is a nation's name, in lower case for every third, unknown for every fifth."""
     k, nation = F.col("c_custkey"), table(spark, sf_dir, "nation")
     rows = customers(spark, sf_dir).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = rows.withColumn("Country", F.when(k % 5 == 0, F.concat(F.lit("new-"), (k % 4).cast("string"))).when(k % 3 == 0, F.lower("n_name")).otherwise(F.col("n_name")))
-    field = Field("Country", lookup=Lookup("countries", **lookup))
+    rows = rows.withColumn("customer_nation", F.when(k % 5 == 0, F.concat(F.lit("new-"), (k % 4).cast("string"))).when(k % 3 == 0, F.lower("n_name")).otherwise(F.col("n_name")))
+    field = Field("customer_nation", lookup=Lookup("nations", **lookup))
     entity = one_level(field)
     return validated(rows, entity, "c_custkey"), entity, field
 
@@ -377,7 +382,7 @@ _COUNTRY = """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'new
 
 def _looked_up(spark, sf_dir, **lookup) -> DataFrame:
     df, entity, field = with_country(spark, sf_dir, **lookup)
-    return looked_up(df, entity, field, countries(spark, sf_dir)).select("root_ord", F.col("val.Country").alias("country"), has_errors().alias("bad"))
+    return looked_up(df, entity, field, nations(spark, sf_dir)).select("root_ord", F.col("val.customer_nation").alias("country"), has_errors().alias("bad"))
 
 
 @query(f"{_COUNTRY} SELECT c_custkey AS root_ord, n_nationkey AS country, n_nationkey IS NULL AS bad FROM c LEFT JOIN nation ON lower(country) = lower(n_name)")
@@ -416,15 +421,15 @@ class _Growing(RelationProvider):
     SELECT c_custkey AS root_ord, coalesce(n_nationkey, id)::INTEGER AS country, false AS bad FROM c LEFT JOIN nation ON lower(country) = lower(n_name) LEFT JOIN new ON country = code""")
 def lookup_auto_create(spark, sf_dir):
     df, entity, field = with_country(spark, sf_dir, on_missing=Missing.AUTO_CREATE)
-    provider = _Growing(countries(spark, sf_dir).relation)
-    return looked_up(df, entity, field, provider).select("root_ord", F.col("val.Country").alias("country"), has_errors().alias("bad"))
+    provider = _Growing(nations(spark, sf_dir).relation)
+    return looked_up(df, entity, field, provider).select("root_ord", F.col("val.customer_nation").alias("country"), has_errors().alias("bad"))
 
 
 @query(f"{_COUNTRY} SELECT country AS key, count(*) AS n FROM c WHERE lower(country) NOT IN (SELECT lower(n_name) FROM nation) GROUP BY country")
 def lookup_misses(spark, sf_dir):
     df, entity, field = with_country(spark, sf_dir)
-    rows = looked_up(df, entity, field, countries(spark, sf_dir)).where(has_errors())
-    return rows.groupBy(F.col("raw.Country").alias("key")).agg(F.count("*").alias("n"))
+    rows = looked_up(df, entity, field, nations(spark, sf_dir)).where(has_errors())
+    return rows.groupBy(F.col("raw.customer_nation").alias("key")).agg(F.count("*").alias("n"))
 
 
 def lists_and_codes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -533,27 +538,27 @@ def hierarchy(spark, sf_dir) -> dict[str, DataFrame]:
     return tables
 
 
-@query(f"""WITH {DIRTY} SELECT OrderNumber AS order_number, n_nationkey AS country, Total::DECIMAL(18,6)::DOUBLE AS total
-    FROM dirty_orders JOIN nation ON lower(n_name) = lower(Country) WHERE o_orderkey NOT IN (SELECT root_ord FROM bad)""")
+@query(f"""WITH {DIRTY} SELECT o_code, n_nationkey AS nation_key, o_totalprice::DECIMAL(15,2)::DOUBLE AS o_totalprice
+    FROM dirty_orders JOIN nation ON lower(n_name) = lower(nation_name) WHERE o_orderkey NOT IN (SELECT root_ord FROM bad)""")
 def upsert_hierarchical_parent(spark, sf_dir):
-    return hierarchy(spark, sf_dir)["Order"].select(F.col("OrderNumber").alias("order_number"), F.col("Country").alias("country"), F.col("Total").cast("double").alias("total"))
+    return hierarchy(spark, sf_dir)["orders"].select("o_code", "nation_key", F.col("o_totalprice").cast("double").alias("o_totalprice"))
 
 
-@query(f"""WITH {DIRTY} SELECT DISTINCT 'O-' || l_orderkey AS order_number, LineNumber::INTEGER AS line_number
+@query(f"""WITH {DIRTY} SELECT DISTINCT 'O-' || l_orderkey AS o_code, l_linenumber::INTEGER AS l_linenumber
     FROM dirty_lines WHERE l_orderkey NOT IN (SELECT root_ord FROM bad)""")
 def upsert_hierarchical_child(spark, sf_dir):
     found = hierarchy(spark, sf_dir)
-    return found["Line"].join(found["Order"], "OrderId").select(F.col("OrderNumber").alias("order_number"), F.col("LineNumber").alias("line_number"))
+    return found["lineitem"].join(found["orders"], "order_id").select("o_code", "l_linenumber")
 
 
 @query(f"""WITH {DIRTY} SELECT (SELECT count(*) FROM dirty_orders WHERE o_orderkey NOT IN (SELECT root_ord FROM bad)) AS orders,
-    (SELECT count(DISTINCT (l_orderkey, LineNumber)) FROM dirty_lines WHERE l_orderkey NOT IN (SELECT root_ord FROM bad)) AS lines, 0::BIGINT AS orphans, 0::BIGINT AS repeated_keys""")
+    (SELECT count(DISTINCT (l_orderkey, l_linenumber)) FROM dirty_lines WHERE l_orderkey NOT IN (SELECT root_ord FROM bad)) AS lines, 0::BIGINT AS orphans, 0::BIGINT AS repeated_keys""")
 def fk_integrity(spark, sf_dir):
     found = hierarchy(spark, sf_dir)
-    orders, lines = found["Order"], found["Line"]
+    orders, lines = found["orders"], found["lineitem"]
     counts = [
-        orders.agg(F.count("*").alias("orders")), lines.agg(F.count("*").alias("lines")), lines.join(orders, "OrderId", "left_anti").agg(F.count("*").alias("orphans")),
-        orders.agg((F.count("*") - F.countDistinct("OrderId")).alias("repeated_keys")),
+        orders.agg(F.count("*").alias("orders")), lines.agg(F.count("*").alias("lines")), lines.join(orders, "order_id", "left_anti").agg(F.count("*").alias("orphans")),
+        orders.agg((F.count("*") - F.countDistinct("order_id")).alias("repeated_keys")),
     ]
     return spark.createDataFrame([tuple(c.first()[0] for c in counts)], "orders long, lines long, orphans long, repeated_keys long")
 
@@ -566,7 +571,7 @@ def duplicate_natural_key(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC) = 1""")
 def last_wins_dedup(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumns({"root_ord": F.col("l_partkey"), "rec_id": F.concat(F.lit("0/Line["), F.col("l_suppkey").cast("string"), F.lit("]"))})
+    rows = table(spark, sf_dir, "lineitem").withColumns({"root_ord": F.col("l_partkey"), "rec_id": F.concat(F.lit("0/lineitem["), F.col("l_suppkey").cast("string"), F.lit("]"))})
     return last_wins(rows, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
@@ -578,28 +583,28 @@ def archive_tables(spark, sf_dir) -> Frames:
     k, place = F.col("o_orderkey"), F.col("l_orderkey") * 100 + F.col("l_linenumber")
     orders = dirty_orders(spark, sf_dir).where("o_orderkey % 40 <> 0")
     raw = lambda df, names: F.create_map(*[x for n in names for x in (F.lit(n.lower()), F.col(n))])
-    order = orders.select((k * 2).alias("ord"), k.alias("line"), raw(orders, ["OrderNumber", "OrderDate", "Country", "Total"]).alias("raw"), F.concat(F.lit("k"), k.cast("string")).alias("key"), F.lit(None).cast("string").alias("parent_key"), no_issues().alias("issues"))
+    order = orders.select((k * 2).alias("ord"), k.alias("line"), raw(orders, ["o_code", "o_orderdate", "nation_name", "o_totalprice"]).alias("raw"), F.concat(F.lit("k"), k.cast("string")).alias("key"), F.lit(None).cast("string").alias("parent_key"), no_issues().alias("issues"))
     again = order.where("line % 50 = 0").withColumn("ord", F.col("ord") + 1)
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"))
-    line = lines.select(place.alias("ord"), place.alias("line"), F.create_map(F.lit("linenumber"), F.col("l_linenumber").cast("string"), F.lit("sku"), F.col("l_partkey").cast("string")).alias("raw"), F.lit(None).cast("string").alias("key"), F.concat(F.lit("k"), F.col("l_orderkey").cast("string")).alias("parent_key"), no_issues().alias("issues"))
-    return {"Order": order.unionByName(again), "Line": line}
+    line = lines.select(place.alias("ord"), place.alias("line"), raw(lines.select(*[F.col(c).cast("string").alias(c) for c in lines.columns]), ["l_linenumber", "l_partkey"]).alias("raw"), F.lit(None).cast("string").alias("key"), F.concat(F.lit("k"), F.col("l_orderkey").cast("string")).alias("parent_key"), no_issues().alias("issues"))
+    return {"orders": order.unionByName(again), "lineitem": line}
 
 
-@query("SELECT l_orderkey * 2 AS root_ord, l_linenumber::VARCHAR AS line_number, max(l_partkey)::VARCHAR AS sku FROM lineitem WHERE l_orderkey % 40 <> 0 GROUP BY l_orderkey, l_linenumber")
+@query("SELECT l_orderkey * 2 AS root_ord, l_linenumber::VARCHAR AS l_linenumber, max(l_partkey)::VARCHAR AS l_partkey FROM lineitem WHERE l_orderkey % 40 <> 0 GROUP BY l_orderkey, l_linenumber")
 def csv_link(spark, sf_dir):
-    rows = linked(archive_tables(spark, sf_dir), MANIFEST)["Line"].where("parent_rec_id IS NOT NULL")
-    return rows.select("root_ord", F.col("raw.LineNumber").alias("line_number"), F.col("raw.Sku").alias("sku"))
+    rows = linked(archive_tables(spark, sf_dir), MANIFEST)["lineitem"].where("parent_rec_id IS NOT NULL")
+    return rows.select("root_ord", "raw.l_linenumber", "raw.l_partkey")
 
 
 @query("SELECT DISTINCT l_orderkey * 100 + l_linenumber AS line, 'k' || l_orderkey AS raw_value FROM lineitem WHERE l_orderkey % 40 = 0")
 def csv_orphans(spark, sf_dir):
-    rows = linked(archive_tables(spark, sf_dir), MANIFEST)["Line"].where(has_errors())
+    rows = linked(archive_tables(spark, sf_dir), MANIFEST)["lineitem"].where(has_errors())
     return rows.select("line", F.col("issues")[0]["raw_value"].alias("raw_value"))
 
 
 @query("SELECT o_orderkey * 2 + 1 AS root_ord, 'key k' || o_orderkey || ' occurs twice' AS message FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey % 40 <> 0")
 def csv_duplicate_key(spark, sf_dir):
-    rows = linked(archive_tables(spark, sf_dir), MANIFEST)["Order"].where(has_errors())
+    rows = linked(archive_tables(spark, sf_dir), MANIFEST)["orders"].where(has_errors())
     return rows.select("root_ord", F.col("issues")[0]["message"].alias("message"))
 
 
@@ -635,23 +640,22 @@ def order_texts(spark, sf_dir, line: Column, whole: Callable[[Column], Column])
 
 
 def _json_line() -> Column:
-    return F.concat(F.lit('{"lineNumber": '), F.col("l_linenumber").cast("string"), F.lit(', "sku": "P'), F.col("l_partkey").cast("string"), F.lit('"}'))
+    return F.concat(F.lit('{"l_lineNumber": '), F.col("l_linenumber").cast("string"), F.lit(', "L_PARTKEY": '), F.col("l_partkey").cast("string"), F.lit("}"))
 
 
 _LINES = """WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS i FROM lineitem)"""
 
 
-@query(f"""{_LINES} SELECT l_orderkey * 1048576 + 1 AS root_ord, '$[1].line[' || i || ']' AS path, l_linenumber::VARCHAR AS line_number, 'P' || l_partkey AS sku FROM n""")
+@query(f"""{_LINES} SELECT l_orderkey * 1048576 + 1 AS root_ord, '$[1].lineItem[' || i || ']' AS path, l_linenumber::VARCHAR AS l_linenumber, l_partkey::VARCHAR AS l_partkey FROM n""")
 def json_children(spark, sf_dir):
-    texts = order_texts(spark, sf_dir, _json_line(), lambda x: F.concat(F.lit('[7, {"orderNumber": "O", "line": ['), F.array_join(x, ", "), F.lit("]}]")))
-    rows = read_texts(texts, MANIFEST, "json")["Line"]
-    return rows.select("root_ord", "path", F.col("raw.LineNumber").alias("line_number"), F.col("raw.Sku").alias("sku"))
+    texts = order_texts(spark, sf_dir, _json_line(), lambda x: F.concat(F.lit('[7, {"o_code": "O", "lineItem": ['), F.array_join(x, ", "), F.lit("]}]")))
+    return read_texts(texts, MANIFEST, "json")["lineitem"].select("root_ord", "path", "raw.l_linenumber", "raw.l_partkey")
 
 
-@query(f"""{_LINES} SELECT l_orderkey * 1048576 AS root_ord, '$.Order[0].LINE' AS path, 'P' || l_partkey AS sku FROM n WHERE i = 0""")
+@query(f"""{_LINES} SELECT l_orderkey * 1048576 AS root_ord, '$.Orders[0].LINEITEM' AS path, l_partkey::VARCHAR AS l_partkey FROM n WHERE i = 0""")
 def json_single_object_child(spark, sf_dir):
-    texts = order_texts(spark, sf_dir, _json_line(), lambda x: F.concat(F.lit('{"Order": [{"LINE": '), x[0], F.lit("}]}")))
-    return read_texts(texts, MANIFEST, "json")["Line"].select("root_ord", "path", F.col("raw.Sku").alias("sku"))
+    texts = order_texts(spark, sf_dir, _json_line(), lambda x: F.concat(F.lit('{"Orders": [{"LINEITEM": '), x[0], F.lit("}]}")))
+    return read_texts(texts, MANIFEST, "json")["lineitem"].select("root_ord", "path", "raw.l_partkey")
 
 
 @query("SELECT c_custkey * 1048576 + 2 AS root_ord, '$[2]' AS path, c_name AS a FROM customer")
@@ -661,12 +665,12 @@ def json_skips_non_objects(spark, sf_dir):
     return rows.select("root_ord", "path", F.col("raw.a").alias("a"))
 
 
-@query(f"""{_LINES} SELECT l_orderkey * 1048576 AS root_ord, (3 + i)::BIGINT AS line, 'Orders/Order/Line' AS path, l_linenumber::VARCHAR AS line_number, 'P' || l_partkey AS sku FROM n""")
+@query(f"""{_LINES} SELECT l_orderkey * 1048576 AS root_ord, (3 + i)::BIGINT AS line, 'sales/orders/lineitem' AS path, l_linenumber::VARCHAR AS l_linenumber, l_partkey::VARCHAR AS l_partkey FROM n""")
 def xml_children(spark, sf_dir):
-    line = F.concat(F.lit("\n<Line><Skip><Sku>no</Sku></Skip><LineNumber>"), F.col("l_linenumber").cast("string"), F.lit("</LineNumber><SKU>P"), F.col("l_partkey").cast("string"), F.lit("</SKU></Line>"))
-    texts = order_texts(spark, sf_dir, line, lambda x: F.concat(F.lit('<Orders xmlns="u">\n<Order>'), F.array_join(x, ""), F.lit("</Order></Orders>")))
-    rows = read_texts(texts, MANIFEST, "xml")["Line"]
-    return rows.select("root_ord", "line", "path", F.col("raw.LineNumber").alias("line_number"), F.col("raw.Sku").alias("sku"))
+    number, part = F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")
+    line = F.concat(F.lit("\n<lineitem><skip><l_partkey>no</l_partkey></skip><l_linenumber>"), number, F.lit("</l_linenumber><L_PARTKEY>"), part, F.lit("</L_PARTKEY></lineitem>"))
+    texts = order_texts(spark, sf_dir, line, lambda x: F.concat(F.lit('<sales xmlns="u">\n<orders>'), F.array_join(x, ""), F.lit("</orders></sales>")))
+    return read_texts(texts, MANIFEST, "xml")["lineitem"].select("root_ord", "line", "path", "raw.l_linenumber", "raw.l_partkey")
 
 
 # --- Jobs -----------------------------------------------------------------------------------------------------------

@@ -73,7 +73,8 @@ def linked(tables: Frames, manifest: Manifest) -> Frames:
     keys: dict[str, DataFrame] = {}
     for depth, (entity, parent) in enumerate(manifest.entities()):
         rows = tables[entity.name].withColumn("entity", F.lit(entity.name))
-        window = Window.partitionBy("key").orderBy("ord")
+        # Rows without a key have a window each, so that a file without keys is not one window.
+        window = Window.partitionBy("key", F.when(F.col("key").isNull(), F.col("ord"))).orderBy("ord")
         first = F.col("key").isNull() | (F.row_number().over(window) == 1)
         rows = rows.withColumn("__first", first if entity.children else F.lit(True))
         twice = F.when(~F.col("__first"), F.array(issue(manifest.source.csv.key_column, F.concat(F.lit("key "), F.col("key"), F.lit(" occurs twice")), F.col("key")))).otherwise(no_issues())

@@ -4,7 +4,7 @@ import time
 from dataclasses import replace
 
 import pytest
-from data import XML, auto, flat, orders
+from data import NETWORK, auto, gauges
 from pyspark.sql import functions as F
 
 from strata.catalog import Options
@@ -21,8 +21,8 @@ from strata.store import Store
 
 @pytest.fixture
 def engine(spark, tmp_path):
-    engine = Engine(spark, str(tmp_path / "store"), cut=lambda df: df.cache())
-    engine.code_lists.put("countries", [("DK", "Denmark"), ("SE", None)])
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.code_lists.put("basins", [("RHINE", "to the North Sea"), ("ODER", None)])
     return engine
 
 
@@ -31,37 +31,41 @@ def write(tmp_path, name, text):
     return str(tmp_path / name)
 
 
-def test_accept_reject_counts_events_and_reimport(engine, tmp_path):
-    engine.add_dataset(orders())
-    path = write(tmp_path, "a.xml", XML)
-    job = engine.import_file(path, "orders")
-    assert (job["status"], job["records_read"], job["records_rejected"], job["inserted"], job["updated"]) == ("CompletedWithRejections", 4, 2, 2, 0)
+def test_trees_are_accepted_or_rejected_whole_and_imports_repeat(engine, tmp_path):
+    engine.add_dataset(gauges())
+    path = write(tmp_path, "a.xml", NETWORK)
+    job = engine.import_file(path, "gauges")
+    assert (job["status"], job["records_read"], job["records_rejected"], job["inserted"], job["updated"]) == ("CompletedWithRejections", 11, 6, 5, 0)
     found = engine.rejections(job["id"]).select("entity", "line", "field", "raw_value").collect()
-    assert [tuple(r) for r in found] == [("Order", 5, "Country", "ZZ"), ("Order", 6, "Total", "banana")]
+    assert [tuple(r) for r in found] == [("Gauge", 11, "Basin", "amazon"), ("Gauge", 13, "Height", "high"), ("Reading", 15, "At", "noon")]
     assert [r.kind for r in engine.events(job["id"]).collect()] == ["started", "completed"]
-    line = engine.table("orders", "Line").join(engine.table("orders", "Order"), "OrderId").first()
-    assert (line.OrderNumber, line.Country, line.LineNumber, line.Sku, str(line.Total)) == ("A-1", 1, 1, "X", "10.500000")
-    again = engine.import_file(path, "orders")
-    assert (again["inserted"], again["updated"]) == (0, 2) and engine.table("orders", "Order").count() == 1
+    table = lambda name: engine.table("gauges", name)
+    rows = table("Reading").join(table("Sensor"), "SensorKey").join(table("Gauge"), "GaugeKey").orderBy("At").collect()
+    assert [(r.Code, r.BasinId, str(r.Opened), str(r.Height), r.Slot, r.Active, str(r.At), r.Level, r.Flag) for r in rows] == [
+        ("RH-07", 1, "1987-11-03", "212.250", 4, False, "2026-03-01 06:00:00", 1.75, "raw"), ("RH-07", 1, "1987-11-03", "212.250", 4, False, "2026-03-01 06:15:00", 1.5, "checked"),
+    ]
+    assert sorted((r.Slot, r.Model, r.Active) for r in table("Sensor").collect()) == [(4, "radar", False), (5, None, True)]
+    again = engine.import_file(path, "gauges")
+    assert (again["inserted"], again["updated"]) == (0, 5) and [table(e).count() for e in ("Gauge", "Sensor", "Reading")] == [1, 2, 2]
     assert [j.id for j in engine.jobs(top=0).collect()] == [again["id"]] and engine.metrics().first().jobs_completed == 2
 
 
-def test_json_and_auto_create(engine, tmp_path):
+def test_json_and_codes_that_are_made(engine, tmp_path):
     engine.add_dataset(auto())
-    text = '[{"orderNumber": "O-1", "country": "FI", "total": 42.00, "line": [{"lineNumber": 1}, {"lineNumber": 2}]}, {"orderNumber": "O-2", "country": "fi", "line": {"lineNumber": 1}}, {"country": "NO"}]'
-    job = engine.import_file(write(tmp_path, "a.json", text), "ORDERS")
-    assert (job["records_read"], job["records_rejected"], job["inserted"]) == (6, 1, 5)
+    first = '{"code": "A", "basin": "Elbe", "height": 3.50, "sensor": [{"slot": 1}, {"slot": 2, "reading": {"at": "2026-01-01T00:00:00"}}]}'
+    text = f'[{first}, {{"code": "B", "BASIN": "elbe", "sensor": {{"slot": 1}}}}, {{"basin": "Po"}}]'
+    job = engine.import_file(write(tmp_path, "a.json", text), "GAUGES")
+    assert (job["records_read"], job["records_rejected"], job["inserted"]) == (7, 1, 6)
     # The code of a rejected record is made too; spellings that differ in case are one code.
-    assert [(r.id, r.code) for r in engine.code_lists.contents("Countries").collect()] == [(1, "DK"), (3, "FI"), (4, "NO"), (2, "SE")]
-    assert [(r.name, r.codes) for r in engine.code_lists.summary().collect()] == [("countries", 4)] and engine.code_lists.contents("none") is None
+    assert {r.code: r.id for r in engine.code_lists.contents("Basins").collect()} == {"RHINE": 1, "ODER": 2, "Elbe": 3, "Po": 4}
+    assert [(r.name, r.codes) for r in engine.code_lists.summary().collect()] == [("basins", 4)] and engine.code_lists.contents("none") is None
 
 
 def test_reject_file_commits_nothing_and_retries(engine, tmp_path):
-    manifest = orders(on_missing=Missing.REJECT_FILE)
-    engine.add_dataset(manifest)
-    job = engine.import_file(write(tmp_path, "a.xml", XML), "orders")
-    assert job["status"] == "Failed" and "ZZ" in job["error"] and job["next_attempt"] is not None
-    assert engine.table("orders", "Order").isEmpty() and engine.run_next("orders") is None
+    engine.add_dataset(gauges(on_missing=Missing.REJECT_FILE))
+    job = engine.import_file(write(tmp_path, "a.xml", NETWORK), "gauges")
+    assert job["status"] == "Failed" and "amazon" in job["error"] and job["next_attempt"] is not None
+    assert engine.table("gauges", "Gauge").isEmpty() and engine.run_next("gauges") is None
     assert [r.kind for r in engine.events(job["id"]).collect()] == ["started", "failed"]
     for _ in range(2):
         engine.run(job["id"])
@@ -69,35 +73,36 @@ def test_reject_file_commits_nothing_and_retries(engine, tmp_path):
 
 
 def test_file_faults_need_not_be_retried(spark, tmp_path):
-    engine = Engine(spark, str(tmp_path / "s"), Options(retry_file_faults=False)).add_dataset(replace(flat(), root=replace(flat().root, children=orders().root.children)))
-    path = write(tmp_path, "a.csv", "OrderNumber\nA\n")
-    assert engine.import_file(path, "orders")["status"] == "DeadLettered"
+    engine = Engine(spark, str(tmp_path / "s"), Options(retry_file_faults=False)).add_dataset(gauges())
+    assert engine.import_file(write(tmp_path, "a.csv", "Code\nRH-07\n"), "gauges")["status"] == "DeadLettered"
 
 
 def test_duplicate_keys_fail_or_the_last_wins(spark, engine, tmp_path):
     engine.add_dataset(auto())
-    path = write(tmp_path, "a.json", '[{"orderNumber": "O", "total": 1, "line": {"lineNumber": 1}}, {"orderNumber": "O", "total": 2, "line": {"lineNumber": 2}}]')
-    assert "DuplicateKey" in engine.import_file(path, "orders")["error"]
+    # Twelve times the same gauge, each with a sensor: the last counts by number, and all sensors are its own.
+    text = ", ".join(f'{{"code": "G", "height": {i}, "sensor": {{"slot": {i}}}}}' for i in range(12))
+    path = write(tmp_path, "a.json", f"[{text}]")
+    assert "DuplicateKey" in engine.import_file(path, "gauges")["error"]
     lenient = Engine(spark, str(tmp_path / "other"), Options(on_duplicate_key="last_wins")).add_dataset(auto())
-    job = lenient.import_file(path, "orders")
-    assert job["status"] == "Succeeded" and [int(r.Total) for r in lenient.table("orders", "Order").collect()] == [2]
-    assert sorted(r.LineNumber for r in lenient.table("orders", "Line").join(lenient.table("orders", "Order"), "OrderId").collect()) == [1, 2]
+    job = lenient.import_file(path, "gauges")
+    assert job["status"] == "Succeeded" and [int(r.Height) for r in lenient.table("gauges", "Gauge").collect()] == [11]
+    assert sorted(r.Slot for r in lenient.table("gauges", "Sensor").join(lenient.table("gauges", "Gauge"), "GaugeKey").collect()) == list(range(12))
 
 
 def test_custom_steps_and_warnings(engine, tmp_path):
-    def no_drafts(context, frames):
-        df = add_issue(frames["Order"], F.col("val.OrderNumber") == "A-1", "OrderNumber", "a draft")
-        return frames | {"Order": add_issue(df, F.lit(True), None, "only a warning", severity="Warning")}
+    def surveyed(context, frames):
+        df = add_issue(frames["Gauge"], F.col("val.Code") == "RH-07", "Code", "not surveyed yet")
+        return frames | {"Gauge": add_issue(df, F.lit(True), None, "only a warning", severity="Warning")}
 
-    engine.add_dataset(orders()).add_step(Step("drafts", no_drafts)).add_step(Step("never", lambda c, f: 1 / 0, applies_to=lambda m: False))
-    job = engine.import_file(write(tmp_path, "a.xml", XML), "orders")
-    assert job["records_rejected"] == 4 and engine.rejections(job["id"]).where("reason = 'a draft'").count() == 1
+    engine.add_dataset(gauges()).add_step(Step("surveyed", surveyed)).add_step(Step("never", lambda c, f: 1 / 0, applies_to=lambda m: False))
+    job = engine.import_file(write(tmp_path, "a.xml", NETWORK), "gauges")
+    assert job["records_rejected"] == 11 and engine.rejections(job["id"]).where("reason = 'not surveyed yet'").count() == 1
 
 
 def test_queue_runs_oldest_first_and_reclaims(engine, tmp_path):
-    engine.add_dataset(orders())
-    first, second = (engine.submit(write(tmp_path, f"{i}.xml", XML), "orders") for i in "ab")
-    assert engine.run_next("orders") == first and engine.run_all() == 1 and engine.job(second)["attempt"] == 1
+    engine.add_dataset(gauges())
+    first, second = (engine.submit(write(tmp_path, f"{i}.xml", NETWORK), "gauges") for i in "ab")
+    assert engine.run_next("gauges") == first and engine.run_all() == 1 and engine.job(second)["attempt"] == 1
     engine._change(lambda df: df.withColumns({"status": F.lit("Processing"), "heartbeat": F.timestamp_seconds(F.lit(0))}))
     assert engine.reclaim() == 2 and engine.jobs(status="Pending").count() == 2
 
@@ -117,12 +122,13 @@ def test_lookup_providers(spark):
         resolve_lookups({"E": df}, Manifest("m", root=entity), {})
 
 
-def test_required_children_and_orphans_reject_their_tree(spark):
-    manifest = orders()
-    manifest = replace(manifest, root=replace(manifest.root, children=(replace(manifest.root.children[0], required=True),)))
-    order = spark.createDataFrame([(1, "A"), (2, "B")], "i long, OrderNumber string")
-    line = spark.createDataFrame([(1, "1/0", "1", "1")], "i long, r string, p string, LineNumber string")
-    frames = {"Order": frame(order, manifest.root, F.col("i"), F.col("i")), "Line": frame(line, manifest.root.children[0], F.col("i"), F.col("r"), F.col("p"))}
+def test_required_children_reject_their_tree(spark):
+    gauge = gauges().root
+    sensor = replace(gauge.children[0], required=True, children=())
+    manifest = Manifest("required", root=replace(gauge, children=(sensor,)))
+    above = spark.createDataFrame([(1, "with"), (2, "without")], "i long, Code string")
+    below = spark.createDataFrame([(1, "1/0", "1", "7")], "i long, r string, p string, Slot string")
+    frames = {"Gauge": frame(above, manifest.root, F.col("i"), F.col("i")), "Sensor": frame(below, sensor, F.col("i"), F.col("r"), F.col("p"))}
     counts = split.counts(validate(frames, manifest))
     assert (counts.records_read, counts.records_rejected, counts.errors, counts.rejected_roots) == (3, 1, 1, 1)
 
@@ -186,21 +192,21 @@ def test_commits_are_atomic_and_exclusive(spark, tmp_path):
 
 
 def test_records_are_ordered_by_number(spark):
-    ids = [f"0/Line[{i}]" for i in (0, 2, 10, 9, 100)]
+    ids = [f"0/Sensor[{i}]" for i in (0, 2, 10, 9, 100)]
     df = spark.createDataFrame([(0, x, 1) for x in ids], "root_ord long, rec_id string, k int")
-    assert last_wins(df, ["k"]).first()["rec_id"] == "0/Line[100]"
-    assert [r["rec_id"] for r in numbered(df, ["root_ord", "rec_id"], 0, "n").orderBy("n").collect()] == [f"0/Line[{i}]" for i in (0, 2, 9, 10, 100)]
-    rows = df.select(F.lit("j").alias("job_id"), "root_ord", "rec_id", F.lit("Line").alias("entity"), F.lit("f").alias("field"))
-    assert [r["rec_id"] for r in jobs.rejected(rows, "j", 3).collect()] == ["0/Line[0]", "0/Line[2]", "0/Line[9]"]
+    assert last_wins(df, ["k"]).first()["rec_id"] == "0/Sensor[100]"
+    assert [r["rec_id"] for r in numbered(df, ["root_ord", "rec_id"], 0, "n").orderBy("n").collect()] == [f"0/Sensor[{i}]" for i in (0, 2, 9, 10, 100)]
+    rows = df.select(F.lit("j").alias("job_id"), "root_ord", "rec_id", F.lit("Sensor").alias("entity"), F.lit("f").alias("field"))
+    assert [r["rec_id"] for r in jobs.rejected(rows, "j", 3).collect()] == ["0/Sensor[0]", "0/Sensor[2]", "0/Sensor[9]"]
 
 
 def test_a_submit_during_an_import_and_a_second_claim(engine, tmp_path):
-    engine.add_dataset(orders())
-    first, more = engine.submit(write(tmp_path, "a.xml", XML), "orders"), write(tmp_path, "b.xml", XML)
+    engine.add_dataset(gauges())
+    first, more = engine.submit(write(tmp_path, "a.xml", NETWORK), "gauges"), write(tmp_path, "b.xml", NETWORK)
     merge, seen = engine._import, []
 
     def slow(job):
-        seen.append((engine.submit(more, "orders"), engine.run(first)))
+        seen.append((engine.submit(more, "gauges"), engine.run(first)))
         return merge(job)
 
     engine._import = slow
@@ -211,8 +217,8 @@ def test_a_submit_during_an_import_and_a_second_claim(engine, tmp_path):
 
 
 def test_a_long_job_tells_that_it_is_alive(spark, tmp_path):
-    engine = Engine(spark, str(tmp_path / "alive"), options=Options(heartbeat_seconds=0.2)).add_dataset(orders())
-    job_id, merge = engine.submit(write(tmp_path, "a.xml", XML), "orders"), engine._import
+    engine = Engine(spark, str(tmp_path / "alive"), options=Options(heartbeat_seconds=0.2)).add_dataset(gauges())
+    job_id, merge = engine.submit(write(tmp_path, "a.xml", NETWORK), "gauges"), engine._import
 
     def slow(job):
         for _ in range(100):

@@ -1,7 +1,7 @@
 from dataclasses import replace
 
 import pytest
-from data import flat, orders
+from data import gauges
 
 from strata.catalog import Catalog, Options
 from strata.errors import ManifestError, UnknownDataset
@@ -11,7 +11,7 @@ from strata.plans.manifest import Entity, Field, Kind, Lookup, Manifest, Missing
 
 
 def changed(**root):
-    m = orders()
+    m = gauges()
     return replace(m, root=replace(m.root, **root))
 
 
@@ -20,8 +20,8 @@ def has(manifest, text):
 
 
 def test_a_good_manifest_has_no_problems_and_survives_a_round_trip():
-    assert not orders().problems()
-    assert loads(dumps(orders())) == orders()
+    assert not gauges().problems()
+    assert loads(dumps(gauges())) == gauges()
 
 
 def test_comments_trailing_commas_and_any_case_are_read():
@@ -32,17 +32,17 @@ def test_comments_trailing_commas_and_any_case_are_read():
 @pytest.mark.parametrize(
     ("manifest", "text"),
     [
-        (Manifest("x"), "root"), (replace(orders(), name=" "), "name"), (changed(table=""), "table"), (changed(key_column=""), "keyColumn"),
+        (Manifest("x"), "root"), (replace(gauges(), name=" "), "name"), (changed(table=""), "table"), (changed(key_column=""), "keyColumn"),
         (changed(fields=()), "at least one field"), (changed(natural_key=("Nope",)), "Nope"),
-        (changed(children=(Entity("order", "T", parent_key_column="p", fields=(Field("a"),)),)), "called order"),
+        (changed(children=(Entity("gauge", "T", parent_key_column="p", fields=(Field("a"),)),)), "called gauge"),
         (changed(children=(Entity("C", "T", fields=(Field("a"),)),)), "parentKeyColumn"),
         (changed(children=(Entity("C", "T", parent_key_column="p", fields=(Field("p"),)),)), "collides with parentKeyColumn"),
-        (changed(fields=(Field("OrderNumber"), Field("ordernumber"))), "field is called"), (changed(fields=(Field("OrderNumber"), Field("b", column="OrderNumber"))), "column is called"),
-        (changed(fields=(Field("OrderNumber"), Field("OrderId"))), "collides with keyColumn"), (changed(fields=(Field("OrderNumber"), Field(""))), "no name"),
-        (changed(fields=(Field("OrderNumber", lookup=Lookup("")),)), "needs a list"), (changed(fields=(Field("OrderNumber", lookup=Lookup("l", on_missing=Missing.USE_DEFAULT)),)), "lookup.default"),
-        (changed(fields=(Field("OrderNumber"), Field("d", type=Kind.DECIMAL, precision=40))), "precision"), (changed(fields=(Field("OrderNumber"), Field("d", type=Kind.DECIMAL, precision=5, scale=10))), "scale"),
-        (changed(fields=(Field("OrderNumber"), Field("s", max_length=5000))), "maxLength"), (changed(fields=(Field("OrderNumber", max_length=1000),)), "850"),
-        (changed(fields=(Field("OrderNumber"), Field("d", type=Kind.DATE, format="yyyy-QQ"))), "not supported"),
+        (changed(fields=(Field("Code"), Field("CODE"))), "field is called"), (changed(fields=(Field("Code"), Field("b", column="Code"))), "column is called"),
+        (changed(fields=(Field("Code"), Field("GaugeKey"))), "collides with keyColumn"), (changed(fields=(Field("Code"), Field(""))), "no name"),
+        (changed(fields=(Field("Code", lookup=Lookup("")),)), "needs a list"), (changed(fields=(Field("Code", lookup=Lookup("l", on_missing=Missing.USE_DEFAULT)),)), "lookup.default"),
+        (changed(fields=(Field("Code"), Field("d", type=Kind.DECIMAL, precision=40))), "precision"), (changed(fields=(Field("Code"), Field("d", type=Kind.DECIMAL, precision=5, scale=10))), "scale"),
+        (changed(fields=(Field("Code"), Field("s", max_length=5000))), "maxLength"), (changed(fields=(Field("Code", max_length=1000),)), "850"),
+        (changed(fields=(Field("Code"), Field("d", type=Kind.DATE, format="yyyy-QQ"))), "not supported"),
     ],
 )
 def test_each_rule_is_reported(manifest, text):
@@ -63,7 +63,7 @@ def test_what_is_no_manifest_is_a_manifest_error(text):
 
 def test_entities_are_listed_level_by_level():
     deep = changed(children=(Entity("A", "A", parent_key_column="p", fields=(Field("x"),), children=(Entity("C", "C", parent_key_column="p", fields=(Field("x"),)),)), Entity("B", "B", parent_key_column="p", fields=(Field("x"),))))
-    assert [e.name for e, _ in deep.entities()] == ["Order", "A", "B", "C"]
+    assert [e.name for e, _ in deep.entities()] == ["Gauge", "A", "B", "C"]
     assert deep.entity("c").name == "C"
 
 
@@ -76,32 +76,32 @@ def test_formats_are_translated():
 
 
 def test_job_scope_follows_keys_and_policies():
-    assert not orders().job_scoped()
-    assert orders(on_missing=Missing.AUTO_CREATE).job_scoped() and changed(natural_key=()).job_scoped()
+    assert not gauges().job_scoped()
+    assert gauges(on_missing=Missing.AUTO_CREATE).job_scoped() and changed(natural_key=()).job_scoped()
 
 
 def test_ddl_names_keys_and_types(spark):
-    order, line = statements(orders())[1:]
-    assert "`Country` INT" in order and "`Total` DECIMAL(18,6)" in order and "`OrderNumber` STRING NOT NULL" in order
-    assert "'strata.foreign_key' = 'OrderId -> dbo.Orders.OrderId'" in line and "'strata.unique' = 'OrderId, LineNumber'" in line
-    assert "`Ord``ers`" in create_table(replace(flat().root, table="Ord`ers"), None)
-    for s in statements(orders()):
+    gauge, sensor, reading = statements(gauges())[1:]
+    assert "`BasinId` INT" in gauge and "`Height` DECIMAL(9,3)" in gauge and "`Code` STRING NOT NULL" in gauge
+    assert "'strata.foreign_key' = 'GaugeKey -> hydro.Gauges.GaugeKey'" in sensor and "'strata.unique' = 'SensorKey, At'" in reading
+    assert "`Gau``ges`" in create_table(replace(gauges().root, table="Gau`ges"), None)
+    for s in statements(gauges()):
         spark.sql(s)
-    assert spark.table("dbo.OrderLines").columns == ["LineId", "OrderId", "LineNumber", "Sku", "Quantity"]
-    spark.sql("DROP DATABASE dbo CASCADE")
+    assert spark.table("hydro.Readings").columns == ["ReadingKey", "SensorKey", "At", "Level", "Flag"]
+    spark.sql("DROP DATABASE hydro CASCADE")
 
 
 def test_catalog_keeps_manifests_and_leaves_bad_ones_out(tmp_path):
     catalog = Catalog(str(tmp_path))
-    catalog.put(dumps(orders()), "ORDERS")
+    catalog.put(dumps(gauges()), "GAUGES")
     (tmp_path / "bad.json").write_text("{")
     again = Catalog(str(tmp_path))
-    assert [m.name for m in again.all()] == ["orders"] and again.get("Orders") == orders() and again.summaries()[0]["entities"] == ["Order", "Line"]
+    assert [m.name for m in again.all()] == ["gauges"] and again.get("Gauges") == gauges() and again.summaries()[0]["entities"] == ["Gauge", "Sensor", "Reading"]
     with pytest.raises(ManifestError):
-        again.put(orders(), "other")
-    assert again.remove("ORDERS") and not again.remove("orders")
+        again.put(gauges(), "other")
+    assert again.remove("GAUGES") and not again.remove("gauges")
     with pytest.raises(UnknownDataset):
-        Catalog(str(tmp_path)).get("orders")
+        Catalog(str(tmp_path)).get("gauges")
 
 
 def test_options_are_checked():

@@ -17,8 +17,9 @@ from strata.llm.common import documents, map_batches
 
 SLOTS, SIZES = 1 << 20, (3, 4, 5, 6)
 #: Rows of each label that the model is fitted on at most, chosen by a hash. A feature counts if the likelihood ratio of
-#: its counts says more than EVIDENCE, which by chance some 60 of all slots would.
-MOST_ROWS, EVIDENCE = {1: 8000, 0: 16000}, 8.0
+#: its counts says more than EVIDENCE, which by chance some 60 of all slots would. Few labelled rows can't say that much:
+#: the FEWEST features that say most count if they say more than HINT.
+MOST_ROWS, EVIDENCE, FEWEST, HINT = {1: 8000, 0: 16000}, 8.0, 1024, 4.0
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 #: Characters that are hashed at once.
 _CHUNK = 1 << 18
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None)
     both = (counts.sum(0) + 0.5) / (rows.sum() + 1)
     tells = sum(counts[i] * np.log(share[i] / both) + (rows[i] - counts[i]) * np.log((1 - share[i] + 1e-9) / (1 - both + 1e-9)) for i in (0, 1))
     tells[counts.sum(0) < 3] = 0
-    kept = np.flatnonzero(tells > EVIDENCE)
+    kept = np.flatnonzero(tells > max(HINT, min(EVIDENCE, np.partition(tells, -FEWEST - 1)[-FEWEST - 1])))
     # Numbers of features, as short as they can be: the list of all rows' features is what the driver holds.
     kind, base = (np.int16, 1 << 15) if len(kept) < 1 << 16 else (np.int32, 0)
     place, is_kept = np.zeros(SLOTS, kind), np.zeros(SLOTS, bool)

@@ -31,6 +31,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(toxic) > 50 and sum(toxic) > 0.9 * len(toxic) and sum(clean) < 0.02 * len(clean)
 
 
+def test_toxicity_from_few_labels(spark):
+    """Nine toxic rows, each with one of three words: no n-gram can say more than EVIDENCE."""
+    rows = [(i, f"plain words number{i} {['grumbl', 'snarkz', 'vexoph'][i % 3] if i < 9 else 'meadow'}") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i < 9)) for i in range(64)], "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    assert sum(found[i] for i in range(9)) >= 8 and not sum(found[i] for i in range(9, 64))
+
+
 def test_toxicity_of_awkward_rows(spark):
     rows = [(i, ("you idiot " if i % 2 else "a kind word ") + f"number {i}") for i in range(60)]
     rows += [(100, None), (101, ""), (None, "idiot"), (102, "calm " * 40_000 + "idiot "), (5, rows[5][1])]

@@ -32,12 +32,10 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_toxicity_from_few_labels(spark):
-    """Nine toxic rows, each with one of three words: no n-gram can say more than EVIDENCE."""
-    rows = [(i, f"plain words number{i} {['grumbl', 'snarkz', 'vexoph'][i % 3] if i < 9 else 'meadow'}") for i in range(64)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i < 9)) for i in range(64)], "doc_id long, toxic int"))
-    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
-    assert sum(found[i] for i in range(9)) >= 8 and not sum(found[i] for i in range(9, 64))
+    """Of eleven toxic rows nine are learned from, so few n-grams can say more than EVIDENCE."""
+    sf = "/root/testdata/sf0.001"
+    found = queries.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1"), "doc_id").collect()
+    assert len(found) == 11 and sum(r["predicted"] for r in found) >= 9
 
 
 def test_toxicity_of_awkward_rows(spark):

@@ -21,9 +21,9 @@ def tokenizer_paths() -> dict:
     return {"tokenizer": vocabularies.path("byte_bpe_50k.json"), "ranks": vocabularies.path("byte_bpe_50k.tiktoken"), "pattern": vocabularies.PATTERN}
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, *more: str) -> DataFrame:
     return packing.pack(docs, **tokenizer_paths()).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more
     )
 
 

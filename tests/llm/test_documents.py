@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -309,3 +310,17 @@ def test_pipeline_stages(spark, tmp_path):
 def test_registered_queries():
     assert [next(q for q in queries.QUERIES if q.startswith(f"op{i}_")) for i in range(1, 11)] == list(queries.QUERIES)
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_the_pipeline_returns_the_ids_of_its_sequences(spark):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    texts = [None, "", "one two  three", "Grüße, 世界 " * 900]
+    found = corpus_pipeline.pack(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").orderBy("doc_id", "start").collect()
+    encode = Tokenizer.from_file(queries.tokenizer_paths()["tokenizer"]).encode
+    for i, text in enumerate(texts):
+        mine = [r for r in found if r["doc_id"] == i]
+        assert np.frombuffer(b"".join(r["ids"] for r in mine), "<u4").tolist() == [*encode(text or "", add_special_tokens=False).ids, 0]
+        assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in mine)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,14 +34,34 @@ def bucket(column, parts: int):
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(parts)), F.lit(-1))
 
 
-def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
-    """mapInArrow with a function that turns one batch into one or more dicts of columns."""
+#: Empties what an operator keeps in a worker for its next task.
+CACHES: list[Callable[[], None]] = []
+
+
+def let_go(keep: bool = False) -> None:
+    """Gives back what a task has freed, and what other operators keep here: workers live on through all stages, each
+    as large as its largest task was. keep: this operator's own tasks go on with what is kept."""
+    for clear in () if keep else CACHES:
+        clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, keep: bool = False) -> DataFrame:
+    """mapInArrow with a function that turns one batch into one or more dicts of columns. keep: see let_go."""
     kinds = T._parse_datatype_string(schema)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(kinds)
+        let_go(keep)
+        arrow, batch, found, columns = to_arrow_schema(kinds), None, None, None
         for batch in batches:
             found = func(batch)
             for columns in [found] if isinstance(found, dict) else found:
@@ -47,5 +69,21 @@ def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[dict] |
                     [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in ((columns[f.name], f) for f in arrow)],
                     schema=arrow,
                 )
+        del batch, found, columns
+        let_go(keep)
 
     return df.mapInArrow(run, kinds)
+
+
+def filter_batches(df: DataFrame, stays: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows, as they are, for which stays(batch) is true."""
+
+    def run(batches):
+        let_go()
+        batch = None
+        for batch in batches:
+            yield batch.filter(pa.array(stays(batch), pa.bool_()))
+        del batch
+        let_go()
+
+    return df.mapInArrow(run, df.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import documents, map_batches
+from strata.llm.common import CACHES, documents, map_batches
 
 #: Ids of this many words are kept in each Python worker; then the store starts anew.
 CACHED_WORDS = 250_000
@@ -76,6 +76,8 @@ def _tokenizer(tokenizer: str, ranks: str | None, pattern: str | None) -> ByteBp
     return ByteBpe(tokenizer, ranks, pattern)
 
 
+CACHES.append(lambda: _tokenizer.cache_clear())
+
 def pieces(n: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: powers of two, at most ``most``, which is one itself."""
     found, start = [], 0
@@ -120,7 +122,7 @@ def pack(
                 out, held = {k: [] for k in out}, 0
         yield out
 
-    found = map_batches(documents(docs, id_col, text_col), run, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    found = map_batches(documents(docs, id_col, text_col), run, "doc_id long, start long, length long, ids binary, doc_tokens long", keep=True)
     return found.select(
         "*",
         F.log2("length").cast("int").alias("bucket"),

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import documents, map_batches
+from strata.llm.common import documents, filter_batches, let_go, map_batches
 
 SLOTS, SIZES = 1 << 20, (3, 4, 5, 6)
 #: Rows of each label that the model is fitted on at most, chosen by a hash. A feature counts if the likelihood ratio of
@@ -145,22 +145,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None)
     tells[counts.sum(0) < 3] = 0
     kept = np.flatnonzero(tells > max(HINT, min(EVIDENCE, np.partition(tells, -FEWEST - 1)[-FEWEST - 1])))
     # Numbers of features, as short as they can be: the list of all rows' features is what the driver holds.
-    kind, base = (np.int16, 1 << 15) if len(kept) < 1 << 16 else (np.int32, 0)
-    place, is_kept = np.zeros(SLOTS, kind), np.zeros(SLOTS, bool)
-    place[kept], is_kept[kept] = np.arange(len(kept)) - base, True
+    kind, signed = (np.uint16, np.int16) if len(kept) < 1 << 16 else (np.int32, np.int32)
+    place, is_kept = np.zeros(SLOTS, signed), np.zeros(SLOTS, bool)
+    place[kept], is_kept[kept] = np.arange(len(kept)).astype(kind).view(signed), True
     shared = docs.sparkSession.sparkContext.broadcast((place, is_kept))
 
     def features(batch: pa.RecordBatch) -> dict:
         numbers, some = shared.value
         return {"toxic": batch["toxic"], "held": [numbers[_held(x or "", some)] for x in batch["text"].to_pylist()]}
 
-    got = map_batches(sample, features, f"toxic int, held array<{'int' if kind == np.int32 else 'short'}>").orderBy(F.xxhash64("held"), "toxic").toArrow()
-    # Views of what came, whose first number, -base, is the sign bit's.
-    listed = [x.flatten().to_numpy() for x in got["held"].chunks]
-    listed = [x if not base else x.view(np.uint16) ^ np.uint16(base) for x in listed]
+    got = map_batches(sample, features, f"toxic int, held array<{'int' if signed == np.int32 else 'short'}>").orderBy(F.xxhash64("held"), "toxic").toArrow()
+    # Views of what came: the same bits without a sign, so nothing is copied.
+    listed = [x.flatten().to_numpy().view(kind) for x in got["held"].chunks]
     rows, y = list(zip(listed, [x.value_lengths().to_numpy() for x in got["held"].chunks], strict=True)), got["toxic"].to_numpy().astype(np.float64)
     del got, listed
     w, b = _fit(rows, y, ratio[kept].astype(np.float64))
+    del rows
+    let_go()
     out = np.zeros(SLOTS, np.float32)
     out[kept] = w * ratio[kept]
     return out, b
@@ -188,8 +189,4 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float
     """The rows of docs that score below the threshold, as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(probabilities(shared.value, batch[text_col]) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filter_batches(docs, lambda batch: probabilities(shared.value, batch[text_col]) < threshold)

@@ -324,3 +324,27 @@ def test_the_pipeline_returns_the_ids_of_its_sequences(spark):
         mine = [r for r in found if r["doc_id"] == i]
         assert np.frombuffer(b"".join(r["ids"] for r in mine), "<u4").tolist() == [*encode(text or "", add_special_tokens=False).ids, 0]
         assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in mine)
+
+
+@pytest.mark.parametrize("few", [1 << 19, -1])
+def test_components_are_those_of_one_task(spark, monkeypatch, few):
+    from strata.llm import components as module
+
+    monkeypatch.setattr(module, "FEW", few)
+    rng = random.Random(4)
+    links = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(260)] + [(i + 1, i) for i in range(1000, 1100)] + [(3, 3)]
+    root = {x: x for pair in links for x in pair}
+    for a, b in links:
+        root = {x: min(root[a], root[b]) if r in (root[a], root[b]) else r for x, r in root.items()}
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(found) == len({r.node for r in found}) and {r.node: r.root for r in found} == {x: r for x, r in root.items() if x != r}
+
+
+def test_few_links_are_not_shuffled_again_and_again(spark):
+    """Each shuffle leaves small files for each of its tasks, which filled the disk where tasks are many."""
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(1 for x in range(tracker.getAllFiles().size()) if tracker.getAllFiles().apply(x).getName().endswith(".index"))
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    before = files()
+    assert components(links).count() == 300
+    assert files() - before <= 10

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strata.llm import chat, packing, topk, urls
-from strata.llm.queries import LISTED, RULES, tokenizer_paths
+from strata.llm.queries import LISTED, RULES, packed, tokenizer_paths
 
 # --- Chat
 
@@ -198,3 +198,16 @@ def test_buckets_are_folders(spark, tmp_path):
     df = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     packing.write_buckets(packing.pack(df, **tokenizer_paths()), str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b")).groupBy("bucket").agg(F.countDistinct("length").alias("n")).where("n > 1").count() == 0
+
+
+def test_a_worker_keeps_nothing_of_another_stage(spark):
+    """Workers live on through the stages of the pipeline; packing's vocabulary is some 100 MB in each."""
+    from strata.llm.common import map_batches
+
+    rows = spark.range(8, numPartitions=8).selectExpr("id AS doc_id", "'some text' AS text")
+    assert len(packed(rows).collect()) >= 8
+
+    def held(batch):
+        return {"doc_id": batch["doc_id"], "n": [packing._tokenizer.cache_info().currsize] * batch.num_rows}
+
+    assert {r["n"] for r in map_batches(rows, held, "doc_id long, n long").collect()} == {0}

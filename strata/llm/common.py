@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,17 @@ def let_go(keep: bool = False) -> None:
         trim(0)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's, made without Python workers: those of createDataFrame from tuples have a daemon of
+    their own, which stays in each executor."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(kinds)
+    columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow), kinds)
+
+
 def slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 

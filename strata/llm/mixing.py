@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACE, WORD
+from strata.llm.common import SPACE, WORD, local_table
 
 #: Rows of a source whose sizes are summed in one window, and windows whose sums are summed in the next step's; blocks
 #: of a source at least; slots that are numbered at once.
@@ -99,7 +99,8 @@ def mix(
     lengths = [max(1, min(block, r["size"] // LEAST_BLOCKS)) for r in sums]
     blocks = [-(-r["size"] // n) for r, n in zip(sums, lengths, strict=True)]
     quota = [round(goal[r["source"]] * n / r["size"]) if n else 0 for r, n in zip(sums, blocks, strict=True)]
-    stats = spark.createDataFrame(
+    stats = local_table(
+        spark,
         [(i, r["source"], r["size"], float(goal[r["source"]]), -(-r["n"] // CHUNK_ROWS), lengths[i]) for i, r in enumerate(sums)],
         "sidx int, source string, source_size long, target double, chunks long, words long",
     )
@@ -123,7 +124,8 @@ def mix(
 
     counts = draw(quota, shards, seed)
     first = np.cumsum(counts, axis=0) - counts
-    drawn = spark.createDataFrame(
+    drawn = local_table(
+        spark,
         [(g, i, int(first[g, i]), int(counts[g, i]), blocks[i]) for g in range(shards) for i in range(len(sums)) if counts[g, i]],
         "shard int, sidx int, first long, count long, blocks long",
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import CACHES, documents, map_batches
+from strata.llm.common import CACHES, documents, let_go, map_batches
 
 #: Ids of this many words are kept in each Python worker; then the store starts anew.
 CACHED_WORDS = 250_000
@@ -73,7 +73,9 @@ class ByteBpe:
 
 @lru_cache(1)
 def _tokenizer(tokenizer: str, ranks: str | None, pattern: str | None) -> ByteBpe:
-    return ByteBpe(tokenizer, ranks, pattern)
+    found = ByteBpe(tokenizer, ranks, pattern)
+    let_go(keep=True)  # reading the files takes twice what stays
+    return found
 
 
 CACHES.append(lambda: _tokenizer.cache_clear())

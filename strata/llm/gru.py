@@ -2,7 +2,8 @@
 
 Tokens are words, A-Z lower-cased, and one end for each document. Counts, and with them the base, the classes and
 what a rare word gets, cover every training document. The output is class-factored: the most frequent words are in
-classes of equal size, P(word) = P(class) P(word in class); all others are one last class, in which a word's share is
+classes, P(word) = P(class) P(word in class), of which those of frequent words are small, as a token costs a logit for
+each class and each word in its own; all others are one last class, in which a word's share is
 its smoothed count. How many words are in classes grows with the corpus. The recurrent weights are fitted in numpy by
 truncated backpropagation: first weights come from a small sample, then every training document is read once, whole,
 in ROUNDS rounds; in a round each partition goes on from the same weights and their mean, by tokens, is what the next
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import checkpointed, documents, map_batches
 
-#: Bound of the words whose counts are broadcast, least classes, least words in a class, width of the state.
+#: Bound of the words whose counts are broadcast, two numbers whose product is the least words in classes, width of the state.
 MOST_FREQUENT, CLASSES, CLASS_SIZE, STATE = 1 << 18, 32, 32, 16
 #: Documents and tokens of each that the first recurrent weights are fitted on at most; steps of backpropagation.
 MOST_DOCS, MOST_TOKENS, STEPS = 3000, 200, 25
@@ -128,37 +129,54 @@ def count(docs: DataFrame) -> DataFrame:
 SAFE = 60.0
 
 
-def _exp_logits(h: np.ndarray, w: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _safe(w: np.ndarray, starts) -> np.ndarray:
+    """For each class of columns from starts on, whether no logit of it is over SAFE: states are within -1 and 1, so the
+    weights bound the logits."""
+    return np.maximum.reduceat(np.abs(w[:-1]).sum(axis=0) + w[-1], starts) <= SAFE
+
+
+def _exp_logits(h: np.ndarray, w: np.ndarray, held: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """exp of h @ w up to a factor a row, the logits of the places held, and the sums of the rows, both up to the same
-    factor. States are within -1 and 1, so the weights bound the logits and mostly no row needs its maximum found."""
+    factor. Where all logits are safe, no row needs its maximum found."""
     e = h @ w
-    if (np.abs(w[:-1]).sum(axis=0) + w[-1]).max() > SAFE:
+    if not safe:
         e -= e.max(axis=1, keepdims=True)
     mine = e.ravel().take(np.arange(0, e.size, e.shape[1]) + held)
     np.exp(e, out=e)
     return e, mine, e @ np.ones(e.shape[1], e.dtype)
 
 
+def class_starts(shares: np.ndarray) -> np.ndarray:
+    """Where classes begin among words of these shares of all tokens, by falling share. A class costs every token a
+    logit, and its own tokens one for each of its words: the least work is where both are alike."""
+    starts, share = [0], 0.0
+    for i, x in enumerate(shares.tolist()):
+        if share * (i - starts[-1]) >= 1:
+            starts.append(i)
+            share = 0.0
+        share += x
+    return np.array(starts, np.int64)
+
+
 class Gru:
     """Weights: x (words + 1, 3 state): what a word adds to the gates; u: what the state adds; c (state + 1, classes +
-    1) and w (classes, state + 1, words in a class): logits, the last row being the bias."""
+    1) and w (state + 1, words, class after class): logits, the last row being the bias."""
 
-    def __init__(self, counts: np.ndarray, tail: float, classes: int = CLASSES, size: int = CLASS_SIZE, state: int = STATE, seed: int = 11):
-        """counts: of the words by falling frequency, as many as there are places; tail: of all others together."""
+    def __init__(self, counts: np.ndarray, tail: float, size: int | None = None, state: int = STATE, seed: int = 11):
+        """counts: of the words by falling frequency; tail: of all others together; size: words in each class, else as
+        class_starts has them."""
         rng = np.random.default_rng(seed)
-        self.size, self.state, self.n = size, state, len(counts)
-        self.classes = -(-self.n // size)
-        held = np.zeros(self.classes * size)
-        held[: self.n] = counts + 1.0
-        held = held.reshape(self.classes, size)
-        mass = np.append(held.sum(axis=1), tail + 1.0)
-        with np.errstate(divide="ignore"):
-            word_bias = np.maximum(np.log(held / held.sum(axis=1, keepdims=True)), -1e4)
+        self.state, self.n = state, len(counts)
+        held = counts + 1.0
+        self.starts = np.arange(0, self.n, size) if size else class_starts(held / (held.sum() + tail + 1.0))
+        self.classes, self.cuts = len(self.starts), np.append(self.starts, self.n)
+        self.group = np.repeat(np.arange(self.classes + 1), np.append(np.diff(self.cuts), 1))
+        mass = np.append(np.add.reduceat(held, self.starts), tail + 1.0)
         self.p = {
             "x": rng.normal(0, 0.3, (self.n + 1, 3 * state)),
             "u": rng.normal(0, state**-0.5, (state, 3 * state)),
             "c": np.append(rng.normal(0, 0.1, (state, self.classes + 1)), np.log(mass / mass.sum())[None], axis=0),
-            "w": np.append(rng.normal(0, 0.1, (self.classes, state, size)), word_bias[:, None], axis=1),
+            "w": np.append(rng.normal(0, 0.1, (state, self.n)), np.log(held / mass.take(self.group[:-1]))[None], axis=0),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
@@ -191,7 +209,7 @@ class Gru:
 
     def _by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class of each id, the order by class, and where each class begins there."""
-        group = np.where(ids == self.n, self.classes, ids // self.size)
+        group = self.group.take(ids)
         order = np.argsort(group.astype(np.int16 if self.classes < 1 << 15 else np.int64), kind="stable")
         return group, order, np.concatenate(([0], np.cumsum(np.bincount(group, minlength=self.classes + 1))))
 
@@ -199,16 +217,16 @@ class Gru:
         """ln P(class) P(word in class) of each id after each state; for the tail class P(class) alone."""
         h = np.append(h, np.ones((len(h), 1), h.dtype), axis=1)
         group, order, cuts = self._by_class(ids)
-        out = np.empty(len(ids))
+        out, safe = np.empty(len(ids)), _safe(self.p["c"], [0])[0]
         for a in range(0, len(ids), ROWS):
             b = a + ROWS
-            _, mine, total = _exp_logits(h[a:b], self.p["c"], group[a:b])
+            _, mine, total = _exp_logits(h[a:b], self.p["c"], group[a:b], safe)
             out[a:b] = mine - np.log(total)
-        h, within = h.take(order, axis=0), (ids - group * self.size).take(order)
-        more = np.zeros(len(ids))
+        h, within = h.take(order, axis=0), (ids - self.cuts.take(group)).take(order)
+        more, safe = np.zeros(len(ids)), _safe(self.p["w"], self.starts)
         for k in np.flatnonzero(np.diff(cuts)[: self.classes]):
             a, b = cuts[k], cuts[k + 1]
-            _, mine, total = _exp_logits(h[a:b], self.p["w"][k], within[a:b])
+            _, mine, total = _exp_logits(h[a:b], self.p["w"][:, self.cuts[k] : self.cuts[k + 1]], within[a:b], safe[k])
             more[a:b] = mine - np.log(total)
         out[order] += more
         return out
@@ -307,27 +325,28 @@ class Gru:
         counts = np.ones(len(ids), kind) if real is None else real.T.ravel().astype(kind)
         scale = counts / kind.type(max(1.0, float(counts.sum())))
 
-        def errors(h, w, held, scale):
+        def errors(h, w, held, scale, safe):
             """Scaled softmax of h @ w less what was held."""
-            e, _, total = _exp_logits(h, w, held)
+            e, _, total = _exp_logits(h, w, held, safe)
             e *= (scale / total)[:, None]
             e.reshape(-1)[np.arange(0, e.size, e.shape[1]) + held] -= scale
             return e
 
         grads = {"c": np.zeros_like(p["c"]), "w": np.zeros_like(p["w"])}
-        dh, turned = np.empty((len(ids), n), kind), np.ascontiguousarray(p["c"][:n].T)
+        dh, turned, safe = np.empty((len(ids), n), kind), np.ascontiguousarray(p["c"][:n].T), _safe(p["c"], [0])[0]
         for a in range(0, len(ids), ROWS):
             b = a + ROWS
-            e = errors(hs[a:b], p["c"], group[a:b], scale[a:b])
+            e = errors(hs[a:b], p["c"], group[a:b], scale[a:b], safe)
             grads["c"] += hs[a:b].T @ e
             dh[a:b] = e @ turned
-        by_class, within, scale = hs.take(order, axis=0), (ids - group * self.size).take(order), scale.take(order)
-        more = np.zeros((len(ids), n), kind)
+        by_class, within, scale = hs.take(order, axis=0), (ids - self.cuts.take(group)).take(order), scale.take(order)
+        more, safe = np.zeros((len(ids), n), kind), _safe(p["w"], self.starts)
         for k in np.flatnonzero(np.diff(cuts)[: self.classes]):
             a, b = cuts[k], cuts[k + 1]
-            e = errors(by_class[a:b], p["w"][k], within[a:b], scale[a:b])
-            grads["w"][k] = by_class[a:b].T @ e
-            more[a:b] = e @ p["w"][k, :n].T
+            mine = slice(self.cuts[k], self.cuts[k + 1])
+            e = errors(by_class[a:b], p["w"][:, mine], within[a:b], scale[a:b], safe[k])
+            grads["w"][:, mine] = by_class[a:b].T @ e
+            more[a:b] = e @ p["w"][:n, mine].T
         back_to = np.empty_like(order)
         back_to[order] = np.arange(len(order))
         dh += more.take(back_to, axis=0)
@@ -432,9 +451,9 @@ def fit(train: DataFrame, most_frequent: int = MOST_FREQUENT, most_docs: int = M
     rows = counts.where((F.col("c") > least) | (F.col("h") == END)).toArrow().sort_by([("c", "descending"), ("h", "ascending")])
     h, c = rows["h"].to_numpy(), rows["c"].to_numpy()
     frequent, c = np.append(END, h[h != END]), np.append(c[h == END].sum(), c[h != END])
-    # The words in classes grow with the root of the corpus, classes and their sizes with its fourth root.
+    # The words in classes grow with the root of the corpus, classes and their sizes with about its fourth root.
     held = min(len(frequent), max(CLASSES * CLASS_SIZE, math.isqrt(n)))
-    model = Gru(c[:held].astype(float), float(n - c[:held].sum()), size=max(CLASS_SIZE, math.ceil(held**0.5)))
+    model = Gru(c[:held].astype(float), float(n - c[:held].sum()))
     scorer = Scorer(frequent, c.astype(np.int64), np.minimum(np.arange(len(frequent)), held), model)
     docs = int(c[0])
     if docs:

@@ -336,3 +336,48 @@ def test_every_token_of_uneven_texts_is_trained_on():
     texts = [np.random.default_rng(i).integers(0, 11, n) for i, n in enumerate((701, 3, 1, 330))]
     model.train(texts, lanes=8, rounds=1)
     assert seen == Counter(np.concatenate(texts).tolist())
+
+
+def test_frequent_words_are_in_small_classes(spark, monkeypatch):
+    # Equal classes of 1,024 words take 65 logits a token, 33 for a word that is in none.
+    rng = np.random.default_rng(8)
+    p = 1 / np.arange(1, 3001)
+    docs = [(i, " ".join(f"w{j}" for j in rng.choice(3000, 300, p=p / p.sum()))) for i in range(200)]
+    scorer = gru.fit(spark.createDataFrame(docs, "doc_id long, text string"), most_docs=0)[0]
+    ids, made, plain = scorer.texts([t for _, t in docs]), [], gru._exp_logits
+
+    def counted(*args):
+        made.append((found := plain(*args))[0].size)
+        return found
+
+    monkeypatch.setattr(gru, "_exp_logits", counted)
+    assert scorer.model.n == 1024 and np.isfinite(scorer.model.score(ids)).all()
+    assert sum(made) < 50 * sum(map(len, ids))
+
+
+def test_probabilities_and_gradients_of_uneven_classes():
+    rng = np.random.default_rng(9)
+    model = gru.Gru(np.array([90.0, 40, 30, 20, 9, 8, 7, 6, 5, 4, 3, 2, 1, 1]), 20.0, state=3)
+    assert len(set(np.diff(model.cuts).tolist())) > 1 and model.cuts[-1] == model.n == 14
+    model.p = {k: np.asarray(v, np.float64) + rng.normal(0, 0.3, v.shape) for k, v in model.p.items()}
+    assert abs(np.exp(model.log_probabilities(np.repeat(rng.normal(size=(1, 3)), 15, axis=0), np.arange(15))).sum() - 1) < 1e-9
+    ids, h0 = rng.integers(0, 15, (2, 6)), rng.normal(size=(2, 3))
+    before, new, first = np.roll(ids, 1, axis=1), np.zeros((2, 6), bool), dict(model.p)
+
+    def loss():
+        h, total = h0, 0.0
+        for s in range(6):
+            h = model.step(before[:, s], h)[0]
+            total -= model.log_probabilities(h, ids[:, s].copy()).sum()
+        return total / ids.size
+
+    _, grads, words = model._window(before, ids, new, h0)
+    grads["x"] = np.zeros_like(first["x"])
+    grads["x"][words] = model._window(before, ids, new, h0)[1]["x"]
+    for k, g in grads.items():
+        way = rng.normal(size=g.shape)
+        model.p[k] = first[k] + 1e-5 * way
+        up = loss()
+        model.p[k] = first[k] - 1e-5 * way
+        assert abs((up - loss()) / 2e-5 - (g * way).sum()) < 1e-6, k
+        model.p[k] = first[k]
